@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import consensus, mixing, packing, quantiles, sentences
+from scorelake.llm import consensus, mixing, packing, pairs, quantiles, sentences
 from scorelake.storage import staged, table
 
 SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective(table(spark, d, "cases"), table(spark, d, "judge_responses"))
+
+
 def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
     """A sketch for each judge model and day; copies of a response count once."""
     rows = table(spark, d, "judge_responses").select("response_id", "judge_model_id", F.to_date("received_at").alias("day"), "latency_ms").distinct()
@@ -58,6 +62,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_latency_percentiles": p3_latency_percentiles, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_judges": p6_judges, "p7_packed": p7_packed, "p7_containers": p7_containers,
     "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found,
 }
