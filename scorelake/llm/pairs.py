@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.payload import case_key_or_derived
+from scorelake.storage import staged
 
 CLASSES = ["empty", "truncated", "refusal", "copied_question", "wrong_language"]
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja", "ko", "ar", "el", "hi", "th"]
@@ -584,7 +585,8 @@ def pairs(cases: DataFrame, responses: DataFrame) -> DataFrame:
 def trained(cases: DataFrame, sample: int = SAMPLE) -> Classifier:
     """The classifier for these data, fitted on a bounded sample of the cases (SAMPLE rows, a few hundred KB)."""
     rows = cases.filter("expected_output is not null").select("record_id", "input", "expected_output").distinct()
-    held = rows.withColumn("__h", F.xxhash64("record_id")).orderBy("__h", "record_id", "input", "expected_output").limit(sample).collect()
+    held = rows.withColumn("__h", F.xxhash64("record_id")).orderBy("__h", "record_id", "input", "expected_output").limit(sample)
+    held = staged(held).collect()  # written first: collecting a sorted limit sends that many rows of every task to the driver
     return fitted([(question_text(r["input"]), unwrapped(r["expected_output"])[0]) for r in held])
 
 
