@@ -22,4 +22,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
-ORACLE: dict[str, str] = {}
+_METRIC = ", ".join(f"p->>'$.{m}'" for m in changes.METRIC_MEMBERS)
+ORACLE: dict[str, str] = {
+    "p4_found": f"""WITH raw AS (SELECT *, CASE WHEN json_type(try_cast(event_json AS JSON)) = 'VARCHAR' THEN try_cast((try_cast(event_json AS JSON)->>'$') AS JSON) ELSE try_cast(event_json AS JSON) END AS p
+  FROM run_events WHERE event_type IN ('score_completed', 'score_failed')),
+c AS (SELECT run_id, coalesce(nullif(trim(case_key), ''), length(dataset_id) || ':' || dataset_id || ':' || case_id, case_id) AS case_key, candidate_id, coalesce(nullif(trim(metric_id), ''), {_METRIC}) AS metric_id, sequence, event_type = 'score_completed' AS ok FROM raw)
+SELECT run_id, case_key, candidate_id, metric_id, max(sequence) AS sequence FROM c GROUP BY 1, 2, 3, 4 HAVING arg_max(ok, sequence)"""
+}
