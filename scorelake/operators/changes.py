@@ -36,7 +36,9 @@ def apply_changes(
     comparable = [c for c in images if "map<" not in dict(changes.dtypes)[c] and "variant" not in dict(changes.dtypes)[c]]
     alive = (~F.coalesce(F.col(deleted), F.lit(False))).alias("__alive")
     held = [F.col(order), *map(F.col, tie), alive, *map(F.col, comparable), *(F.col(c) for c in images if c not in comparable)]
-    bounds = sorted({*changes.approxQuantile([order], [i / batches for i in range(1, batches)], 0.01)[0]})
+    cuts = [i / batches for i in range(1, batches)]
+    found = changes.agg(F.percentile_approx(order, cuts, 1000)).first()[0] if cuts else None
+    bounds = sorted({*(found or [])})
     number: Column = reduce(lambda a, b: a + F.when(F.col(order) > b, 1).otherwise(0), bounds, F.lit(0))
     parts = staged(changes.withColumn("__batch", F.coalesce(number, F.lit(0)).cast("int")), partition_by="__batch")
 
