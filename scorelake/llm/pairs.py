@@ -289,7 +289,7 @@ def _half(word: str, text: str) -> bool:
     at = bisect.bisect_left(_VOCABULARY, word)
     if at < len(_VOCABULARY) and _VOCABULARY[at] == word or text.count(word) > 1:
         return False
-    return at < len(_VOCABULARY) and _VOCABULARY[at].startswith(word)
+    return len(word) > 2 and at < len(_VOCABULARY) and _VOCABULARY[at].startswith(word)
 
 
 def _ending(answer: str, broken: bool, text: str) -> str:
@@ -316,8 +316,8 @@ def _ending(answer: str, broken: bool, text: str) -> str:
     c = t[-1]
     if not c.isalnum() and (unicodedata.category(c) in ("So", "Sm", "Sk", "Mn") or ord(c) > 0x2600):
         return "note"
-    plain = re.sub(r"\\boxed|[*`=${}\\ ]|answer:?", "", t)
-    if len(plain) <= 40 and _SPACES.sub("", t).count("\n") == 0 and re.fullmatch(r"[-+]?[\d.,:/%]+|[A-Za-z\u00c0-\u04ff]{1,24}(?:-[A-Za-z\u00c0-\u04ff]{1,24})*|[\u3040-\u9fff\uac00-\ud7a3]{1,6}", plain) and len(t.split()) <= 3:
+    plain = re.sub(r"\\boxed|[*`=${}\\]|answer:?", "", t).strip()
+    if len(plain) <= 40 and re.fullmatch(r"[-+]?[\d.,:/%]+|[A-Za-z\u00c0-\u04ff]{1,24}(?:-[A-Za-z\u00c0-\u04ff]{1,24})*|[\u3040-\u9fff\uac00-\ud7a3]{1,6}", plain) and len(t.split()) <= 3:
         return "value"
     return "loose"
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 NONFINAL = frozenset(
     "mr mrs ms dr prof st no nos fig figs sec cf vs approx ca nr abb vgl bzgl z.b d.h dipl.-ing hr fr frl mm mme sra sr srta ud uds dra pág fig núm см рис табл проф им ул стр env κ β δ e.g i.e".split()
 )
+FINAL = frozenset("etc usw inc ltd corp jr sr bros κ.λπ u.s u.k a.m p.m".split())
 #: Words before a German ordinal number (fixed values).
 BEFORE_ORDINAL = frozenset("im am der die das den dem des vom zum zur beim bis ab seit ins ans jeder jede jedes ihr sein unser".split())
 #: Chinese verbs of saying that close an attribution after a quotation (fixed values).
@@ -190,7 +191,7 @@ def _opens(text: str, i: int, end: int, abbreviation: bool) -> str:
 
 def _opening_word(text: str, i: int, end: int) -> str:
     m = _WORD.search(text, i, min(end, i + 60))
-    return m[0].rstrip(".") if m else ""
+    return m[0].rstrip(".").lower() if m else ""
 
 
 def _is_initial(word: str) -> bool:
@@ -269,7 +270,9 @@ def _plain(word: str, lexicon: Lexicon, own: Evidence) -> bool:
         return False
     if key in lexicon.final:
         return True
-    if own.inside.get(key, 0) and len(key) <= 5 and not own.other.get(key, 0):
+    if key in FINAL:
+        return True
+    if len(key) <= 5 and own.inside.get(key, 0) > 0 and own.inside[key] >= own.other.get(key, 0):
         return False
     return key not in NONFINAL
 
