@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 from math import sqrt
 from typing import Any
 from zlib import crc32
@@ -80,6 +81,27 @@ def enforced(value: Any, kind: str) -> str | None:
     return repr(value)
 
 
+def castable(value: Any, kind: str) -> bool:
+    """Whether ``enforced`` would hold the value, without making its text."""
+    if kind == "json" and isinstance(value, (dict, list)) or kind == "string" and isinstance(value, str):
+        return True
+    return enforced(value, kind) is not None
+
+
+def read_fields(payload: dict, schema: dict[str, str]) -> Iterator[tuple[str, Any, str]]:
+    """(field, value, fate) of every field of a payload, in order. fate: typed (a column of the schema holds it), rescued
+    (unknown to the schema or uncastable: the rescue column holds it), null (null value of a known field) or parts (an
+    object whose members are fields themselves). This is the one reading that the table and the report of changes share."""
+    for field, value in members(payload):
+        kind = schema.get(field)
+        if kind is None:
+            yield field, value, "parts" if field in CONTAINERS and isinstance(value, dict) else "rescued"
+        elif value is None:
+            yield field, value, "null"
+        else:
+            yield field, value, "typed" if castable(value, kind) else "rescued"
+
+
 def ingested(df: DataFrame, keep: list[str], json_col: str, schema: dict[str, str] | None = None) -> DataFrame:
     """One consistent table: columns ``keep``, one typed column for each field of ``schema`` (dots become "__"; a name
     taken by ``keep`` gets the prefix "payload__"), ``rescued`` STRING and ``readable`` BOOLEAN.
@@ -106,15 +128,11 @@ def ingested(df: DataFrame, keep: list[str], json_col: str, schema: dict[str, st
                     continue
                 readable[i] = True
                 saved: dict[str, Any] = {}
-                for field, value in members(payload):
-                    at = place.get(field)
-                    if at is None:
-                        if not (field in CONTAINERS and isinstance(value, dict)):
-                            saved[field] = value
-                    elif value is not None:
-                        columns[at][i] = enforced(value, known[at][1])
-                        if columns[at][i] is None:
-                            saved[field] = value
+                for field, value, fate in read_fields(payload, fields):
+                    if fate == "typed":
+                        columns[place[field]][i] = enforced(value, fields[field])
+                    elif fate == "rescued":
+                        saved[field] = value
                 if saved:
                     rescued[i] = json.dumps(saved, ensure_ascii=False)
             made = [batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.string()) for c in columns] + [pa.array(rescued, pa.string()), pa.array(readable, pa.bool_())]
@@ -162,13 +180,18 @@ def promoted(table: DataFrame, aliases: dict[str, str], keep: list[str], schema:
     if not used:
         return table.drop("__held")
     gone = F.array(*map(F.col, used))
-    left = F.map_filter("__held", lambda k, _: ~F.coalesce(F.array_contains(gone, k), F.lit(False)))
+    kept = F.from_json("rescued", "map<string,variant>")  # what stays keeps its JSON types
+    left = F.map_filter(kept, lambda k, _: ~F.coalesce(F.array_contains(gone, k), F.lit(False)))
     rest = F.when(F.size(F.array_compact(gone)) == 0, F.col("rescued")).when(F.size(left) > 0, F.to_json(left, {"ignoreNullFields": "false"}))
     return table.withColumn("rescued", rest).drop("__held", *used)
 
 
 def shape(value: Any) -> tuple[str, str]:
     """What a value looks like, whatever JSON type holds it, and the word it begins with."""
+    return _text_shape(value) if isinstance(value, str) else _shape(value)
+
+
+def _shape(value: Any) -> tuple[str, str]:
     if isinstance(value, bool):
         return "boolean", ""
     if isinstance(value, (int, float)):
@@ -176,7 +199,12 @@ def shape(value: Any) -> tuple[str, str]:
     if isinstance(value, dict):
         return "object " + " ".join(sorted(value))[:80], ""
     if isinstance(value, list):
-        return "array " + (shape(value[0])[0] if value else ""), ""
+        return "array " + (shape(value[0])[0] if value and value[0] is not None else ""), ""
+    return "", ""
+
+
+@lru_cache(50_000)
+def _text_shape(value: str) -> tuple[str, str]:
     text = value.strip()
     if text in ("true", "false"):
         return "boolean", ""
@@ -197,20 +225,22 @@ def shape(value: Any) -> tuple[str, str]:
     return _RUNS.sub(lambda m: "9" if m[0].isdigit() else "a", text)[:60], lead[0] if lead else ""
 
 
-def profiles(events: DataFrame) -> DataFrame:
-    """What each file holds: store_id, file_no, event_type, field ("" counts readable rows), kind, bucket (of the
-    value's shape), n, place (sum of positions). Combined inside each task before the shuffle."""
+def profiles(events: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
+    """What the ingestion finds in each file: store_id, file_no, event_type, field ("" counts readable rows), kind, fate
+    (see read_fields), bucket (of the value's shape), n, place (sum of positions). Combined inside each task before the
+    shuffle."""
+    fields = schema or EVENT_FIELDS
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(zip(*seen)) if seen else [()] * 6
+            keys = list(zip(*seen)) if seen else [()] * 7
             counts = list(zip(*seen.values())) if seen else [()] * 2
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
             made = [pa.array(k, t) for k, t in zip(keys, types)] + [pa.array(c, pa.int64()) for c in counts]
             seen.clear()
-            return pa.RecordBatch.from_arrays(made, names=["store_id", "file_no", "event_type", "field", "kind", "bucket", "n", "place"])
+            return pa.RecordBatch.from_arrays(made, names=["store_id", "file_no", "event_type", "field", "kind", "fate", "bucket", "n", "place"])
 
         def add(key: tuple, at: int) -> None:
             held = seen.get(key)
@@ -225,22 +255,30 @@ def profiles(events: DataFrame) -> DataFrame:
                 payload = read_payload(text)
                 if payload is None:
                     continue
-                add((store, file, kind, "", "", 0), 0)
-                for at, (field, value) in enumerate(members(payload)):
-                    if value is None:
-                        bucket = -1
-                    else:
-                        form, lead = shape(value)
-                        bucket = crc32(form.encode()) % SHAPES * LEADS + (crc32(lead.encode()) % LEADS if lead else 0)
-                    add((store, file, kind, field, json_kind(value), bucket), at)
+                add((store, file, kind, "", "", "", 0), 0)
+                for at, (field, value, fate) in enumerate(read_fields(payload, fields)):
+                    bucket = -1 if value is None else _bucket(*shape(value))
+                    add((store, file, kind, field, json_kind(value), fate, bucket), at)
             if len(seen) > 100_000:
                 yield out()
         yield out()
 
     found = events.select("store_id", "file_no", "event_type", "event_json").mapInArrow(
-        parse, "store_id string, file_no int, event_type string, field string, kind string, bucket int, n bigint, place bigint"
+        parse, "store_id string, file_no int, event_type string, field string, kind string, fate string, bucket int, n bigint, place bigint"
     )
-    return found.groupBy("store_id", "file_no", "event_type", "field", "kind", "bucket").agg(F.sum("n").alias("n"), F.sum("place").alias("place"))
+    return found.groupBy("store_id", "file_no", "event_type", "field", "kind", "fate", "bucket").agg(F.sum("n").alias("n"), F.sum("place").alias("place"))
+
+
+@lru_cache(50_000)
+def _bucket(form: str, lead: str) -> int:
+    return crc32(form.encode()) % SHAPES * LEADS + (crc32(lead.encode()) % LEADS if lead else 0)
+
+
+def rescue_rates(events: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
+    """How the fields of each file fared: store_id, file_no, event_type, field, typed, rescued, nulls (rows each)."""
+    of = lambda fate: F.sum(F.when(F.col("fate") == fate, F.col("n")).otherwise(0))
+    nulls = F.sum(F.when(F.col("kind") == "null", F.col("n")).otherwise(0))
+    return profiles(events, schema).filter("field <> ''").groupBy("store_id", "file_no", "event_type", "field").agg(of("typed").alias("typed"), of("rescued").alias("rescued"), nulls.alias("nulls"))
 
 
 class _File:
@@ -320,6 +358,28 @@ def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str,
     return found
 
 
+def aliases(report: DataFrame, schema: dict[str, str] | None = None, most: int = 1000) -> dict[str, str]:
+    """Approved promotions from a report: every unknown name that replaced a field of the schema, directly or over other
+    names. Names are few (``most`` at most, else an error): they are the vocabulary of the writers, not data."""
+    fields = schema or EVENT_FIELDS
+    pairs = report.filter("change = 'renamed'").select("field", "new_field").distinct().limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError("too many names; pass the aliases to promote")
+    known = {f: f for f in fields}
+    for _ in pairs:  # names follow names
+        for a, b in sorted((r["field"], r["new_field"]) for r in pairs):
+            if a in known and b not in known:
+                known[b] = known[a]
+            elif b in known and a not in known:
+                known[a] = known[b]
+    return {a: f for a, f in known.items() if a not in fields}
+
+
+def consistent(events: DataFrame, keep: list[str], schema: dict[str, str] | None = None) -> DataFrame:
+    """One event table over all files: ingested, with what drifted under other names replayed into the typed columns."""
+    return promoted(ingested(events, keep, "event_json", schema), aliases(drift_report(events), schema), keep, schema)
+
+
 def drift_report(events: DataFrame) -> DataFrame:
     """Each change of a store's files against the last earlier file that has readable rows of the event type:
     store_id, file_no, event_type, change, field, new_field. Rows without a store, file or type form files of their own

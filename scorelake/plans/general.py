@@ -21,7 +21,32 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.run_children(table(spark, d, "run_events"), table(spark, d, "run_snapshots"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+def p2_events(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent event table, drifted names replayed, with what is left in the rescue column."""
+    return drift.consistent(table(spark, d, "run_events"), ["id", "store_id", "file_no"])
+
+
+def p2_rescue_rates(spark: SparkSession, d: str) -> DataFrame:
+    return drift.rescue_rates(table(spark, d, "run_events"))
+
+
+def p5_judge_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Flat table of the judges' responses with parent and position."""
+    fields = {"judge_model_id": "judge_model_id", "judge_model_version": "judge_model_version", "raw_response": "raw_response", "latency_ms": "latency_ms", "token_usage.prompt_tokens": "prompt_tokens", "token_usage.completion_tokens": "completion_tokens"}
+    triples = nested.evaluation_triples(table(spark, d, "run_events"), tables=["judge_responses"])
+    rows = nested.pivoted(triples, ["run_id", "sequence"], "judge_responses", fields).drop("ordinals")
+    return rows.withColumns({c: F.col(c).try_cast("double" if c == "latency_ms" else "bigint") for c in ("latency_ms", "prompt_tokens", "completion_tokens")})
+
+
+def p5_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Flat table of the cases in run snapshots with parent and position."""
+    triples = nested.snapshot_triples(table(spark, d, "run_snapshots"), tables=["datasets.cases"])
+    return nested.pivoted(triples, ["run_id", "sequence"], "datasets.cases", {"case_id": "case_id", "input.question": "question", "expected_output.answer": "answer", "metadata.lang": "lang"}).drop("ordinals")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p2_events": p2_events, "p2_rescue_rates": p2_rescue_rates, "p5_judge_responses": p5_judge_responses, "p5_cases": p5_cases,
+}
 _METRIC = ", ".join(f"p->>'$.{m}'" for m in changes.METRIC_MEMBERS)
 ORACLE: dict[str, str] = {
     "p4_found": f"""WITH raw AS (SELECT *, CASE WHEN json_type(try_cast(event_json AS JSON)) = 'VARCHAR' THEN try_cast((try_cast(event_json AS JSON)->>'$') AS JSON) ELSE try_cast(event_json AS JSON) END AS p

@@ -54,4 +54,4 @@ def test_rescue_and_replay_lose_nothing(spark):
     assert json.loads(got[None]["rescued"]) == {"seed": {"no": 1}, "odd": None} and str(got[None]["occurred_at"]).startswith("2026-04-10")
     assert [r["rescued"] for r in held.filter("not readable").collect()] == [json.dumps({"": "{cut"}), None]
     again = {r["payload__run_id"]: r for r in drift.promoted(held, {"candidateId": "candidate_id"}, ["run_id", "file_no"]).collect() if r["readable"]}
-    assert again["r"]["candidate_id"] == "c" and json.loads(again["r"]["rescued"]) == {"score.weight": "2"}
+    assert again["r"]["candidate_id"] == "c" and json.loads(again["r"]["rescued"]) == {"score.weight": 2}
