@@ -91,7 +91,7 @@ _CUT_MARK = re.compile(r"(?:…|\.\.\.|\[(?:truncated|max tokens reached|cut off
 _SPECIFIC = re.compile(r"\d+|[^\W\d_]+(?:-[^\W\d_]+)+|(?<![.!?¿¡\s\w])\b[A-Z][a-z]{2,}|(?<=\w )[A-Z][a-z]{2,}", re.U)
 _VALUE = re.compile(r"\d|[^\W\d_]+-[^\W\d_]+")
 _TOKEN = re.compile(r"\d+|[a-z\u00df-\u024f]+(?:-[a-z\u00df-\u024f]+)*|[\u0430-\u04ff]+(?:-[\u0430-\u04ff]+)*")
-_QUOTED = re.compile("[\"“„«「‘][^\"”“»」’]*[\"”“»」’]")
+_QUOTED = re.compile("[\"“„«「][^\"”“»」]*(?:[\"”“»」]|$)")
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
 _LEAD = re.compile(r"[^:：.!?。！？\d]{1,40}[:：]\W*")
@@ -122,7 +122,7 @@ def unwrapped(text: str, depth: int = 2) -> tuple[str, bool]:
 
 
 def normal(text: str) -> str:
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", text).casefold()).strip()
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold().split())
 
 
 def bare(text: str) -> str:
@@ -196,45 +196,57 @@ def surely(text: str) -> str | None:
     return order[0][0] if order and order[0][1] >= 2 and (len(order) == 1 or order[0][1] >= 2 * order[1][1]) else None
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each character n-gram of whole texts, offset of each text's first gram, number of grams): vectorised over
-    all texts at once. Texts have a mark at both ends, so grams see beginnings and ends."""
+def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: (hash of each character n-gram, number of its text), vectorised over whole texts. Texts have a mark at
+    both ends, so grams see beginnings and ends."""
     joined = [f"\x02{t}\x03" for t in texts]
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in joined], dtype=np.int64)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    hashes, rows = [], []
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, joined), np.int64, len(joined)))
     for n in NGRAMS:
         m = len(codes) - n + 1
         if m <= 0:
             continue
         h = np.full(m, n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         for i in range(n):
-            h = (h ^ codes[i : i + m]) * np.uint64(0x100000001B3)
+            h ^= codes[i : i + m]
+            h *= np.uint64(0x100000001B3)
             h ^= h >> np.uint64(29)
         inside = row[:m] == row[n - 1 :]
-        hashes.append((h >> np.uint64(17))[inside] & np.uint64((1 << BITS) - 1))
-        rows.append(row[:m][inside])
-    h, r = np.concatenate(hashes).astype(np.int64), np.concatenate(rows)
-    order = np.argsort(r, kind="stable")
-    h, r = h[order], r[order]
+        yield ((h >> np.uint64(17)) & np.uint64((1 << BITS) - 1))[inside].astype(np.int32), row[:m][inside]
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, offset of each text's first gram, number of its grams), all n together, for training."""
+    parts = list(_hashed(texts))
+    h, r = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    h = h[np.argsort(r, kind="stable")]
     counts = np.bincount(r, minlength=len(texts))
     return h, np.concatenate([[0], np.cumsum(counts)[:-1]]), counts
 
 
-def summed(weights: np.ndarray, h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each text's grams over the root of their number (every text has at least one gram)."""
-    out = np.empty((len(starts), weights.shape[1]), dtype=np.float32)
-    step = 1_000_000
-    at = 0
-    while at < len(starts):
-        end = at + 1
-        while end < len(starts) and starts[end] + counts[end] - starts[at] <= step:
-            end += 1
-        lo, hi = starts[at], starts[end - 1] + counts[end - 1]
-        out[at:end] = np.add.reduceat(weights[h[lo:hi]], starts[at:end] - lo, axis=0)
-        at = end
-    return out / np.sqrt(np.maximum(counts, 1))[:, None]
+def summed(weights: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Sum of the weights of each text's grams over the root of their number."""
+    out = np.zeros((len(texts), weights.shape[1]), dtype=np.float32)
+    number = np.zeros(len(texts), dtype=np.int64)
+    for h, r in _hashed(texts):
+        counts = np.bincount(r, minlength=len(texts))
+        number += counts
+        have = np.flatnonzero(counts)
+        ends = np.cumsum(counts[have])
+        for lo, hi in _slices(ends, 1_000_000):
+            first = ends[lo - 1] if lo else 0
+            starts = np.concatenate([[first], ends[lo : hi - 1]]) - first
+            out[have[lo:hi]] += np.add.reduceat(weights[h[first : ends[hi - 1]]], starts, axis=0)
+    return out / np.sqrt(np.maximum(number, 1))[:, None]
+
+
+def _slices(ends: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``step`` grams each, one text at least."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, "right")))
+        yield lo, hi
+        lo = hi
 
 
 class Pair:
@@ -256,10 +268,10 @@ class Pair:
             text = _REQUEST.sub(" ", text) if q.wanted else text
             left = re.sub(r"[\W_]+", "", re.sub(r"^\W*(?:q|question|frage|pregunta|вопрос|问题|问)\b|\b(?:a|answer)\W*$", "", _TAGS.sub(" ", text).strip()))
             self.copied = not left or bool(_LEAD.fullmatch(text.strip()))
-        self.body = text
         self.target = q.wanted
         self.words = text.count(" ") + 1
-        outside = _QUOTED.sub(" ", text)
+        outside = _QUOTED.sub(" ", text)  # what an answer quotes, a refusal for example, isn't what it says
+        self.body = outside if _LETTERS.search(outside) else text
         self.value = bool(_VALUE.search(outside))
         self.specific = not q.specific.isdisjoint(_TOKEN.findall(outside))
         self.ending = _ending(self.answer, self.broken, text)
@@ -374,18 +386,16 @@ class Classifier:
             if len(self._spoken) > 20_000:
                 self._spoken.clear()
             core = _plain(normal(_asked(question).core))
-            h, s, n = grams([core])
-            self._spoken[question] = surely(core) or self.languages([core], summed(self.tongue, h, s, n))[0][0]
+            self._spoken[question] = surely(core) or self.languages([core], summed(self.tongue, [core]))[0][0]
         return self._spoken[question]
 
     def scored(self, questions: list[str], answers: list[str | None]) -> tuple[list[Pair], np.ndarray, np.ndarray, list[str | None]]:
         """(pairs, logits of the defects, margins of the language, languages of the answers)."""
         pairs = [Pair(q, a) for q, a in zip(questions, answers)]
         bodies = [_DIGITS.sub("0", p.body) for p in pairs]
-        h, s, n = grams(bodies)
-        both = summed(self.both, h, s, n)
+        both = summed(self.both, bodies)
         k = len(CLASSES)
-        plain = [_plain(b) for b in bodies]
+        plain = [_plain(b) if len(b) < 60 else b for b in bodies]
         tongues = self.languages(plain, both[:, k:])
         margins = np.zeros(len(pairs))
         for i, (p, (code, row)) in enumerate(zip(pairs, tongues)):
@@ -399,7 +409,7 @@ class Classifier:
     def defects(self, questions: list[str], answers: list[str | None]) -> list[str | None]:
         """The defect of each pair: of the classes over their thresholds whose exact check agrees, the surest."""
         pairs, logits, margins, codes = self.scored(questions, answers)
-        over = 1 / (1 + np.exp(-logits)) - self.thresholds
+        over = 1 / (1 + np.exp(-np.clip(logits, -60, 60))) - self.thresholds
         found: list[str | None] = []
         for i, pair in enumerate(pairs):
             best = None
@@ -514,7 +524,7 @@ def _fit_linear(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, extra: np
 def fitted(sample: list[tuple[str, str | None]], seed: int = 0) -> Classifier:
     """A classifier from pairs (question, answer), most of which are sound. Pairs whose answer surely is sound (it ends, in
     the language asked for, it is no copy and names something that the question names) are the training stock; a fifth of
-    their broken versions is held out and calibrates the thresholds: for each class the one with the best F1."""
+    their broken versions is held out and calibrates the thresholds: for each class the lowest one with the best F1."""
     rng = np.random.default_rng(seed)
     texts, codes = [], []
     for q, a in sample:
@@ -561,13 +571,14 @@ def fitted(sample: list[tuple[str, str | None]], seed: int = 0) -> Classifier:
     model = Classifier(wide, tongue, deep, bias, known, np.full(len(CLASSES), 0.5), vocabulary)
     test = np.flatnonzero(held_out)
     if len(test):
-        p = 1 / (1 + np.exp(-(summed(wide, h, s[test], n[test]) + x[test] @ deep + bias)))
+        z = summed(wide.astype(np.float32), [_DIGITS.sub("0", pairs[i].body) for i in test]) + x[test] @ deep + bias
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         for c in range(len(CLASSES)):
             grid = np.linspace(0.1, 0.9, 33)
             truth = y[test, c] > 0.5
             f1 = [2 * (truth & (p[:, c] >= t)).sum() / max(1, truth.sum() + (p[:, c] >= t).sum()) for t in grid]
             best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            model.thresholds[c] = grid[best[len(best) // 2]]
+            model.thresholds[c] = grid[best[0]]  # the lowest of the best: exact checks follow
     return model
 
 
