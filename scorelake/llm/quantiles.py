@@ -148,33 +148,48 @@ def sketches(df: DataFrame, groups: list[str], value: str, section: int = SECTIO
         if held:
             yield out()
 
-    def merged(rows: pd.DataFrame) -> bytes:
-        first, *rest = (Sketch.from_bytes(x) for x in rows["sketch"])
-        for other in rest:
-            first.merge(other)
-        return first.to_bytes()
-
     clean = df.select(*groups, measured(F.col(value).cast("double")).alias(value)).filter(F.col(value).isNotNull())
     built = clean.mapInArrow(build, f"{keyed}, __salt int, sketch binary")
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.head(1).assign(sketch=[merged(rows)])
-
-    salted = built.groupBy(*groups, "__salt").applyInPandas(merge, f"{keyed}, __salt int, sketch binary")
-    return combined(salted.drop("__salt"), groups)
+    return combined(_merged(built, [*groups, "__salt"]), groups)
 
 
-def combined(parts: DataFrame, groups: list[str]) -> DataFrame:
-    """Merges sketches (of days, partitions, tables …) into one for each group: groups, n, sketch."""
+def _merged(parts: DataFrame, groups: list[str]) -> DataFrame:
+    """One sketch for each group: rows are brought together and sorted by group, and a task holds one sketch at a time."""
     keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*groups).schema)
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = (Sketch.from_bytes(x) for x in rows["sketch"])
-        for other in rest:
-            first.merge(other)
-        return rows.head(1)[groups].assign(n=first.n, sketch=[first.to_bytes()])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held = Sketch()
+        done: list[tuple[tuple, Sketch]] = []
+        types: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            made = [pa.array([k[i] for k, _ in done], t) for i, t in enumerate(types)] + [pa.array([s.n for _, s in done], pa.int64()), pa.array([s.to_bytes() for _, s in done], pa.binary())]
+            done.clear()
+            return pa.RecordBatch.from_arrays(made, names=[*groups, "n", "sketch"])
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:-1]]
+            for *at, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(at) == key:
+                    held.merge(Sketch.from_bytes(data))
+                else:
+                    if key is not None:
+                        done.append((key, held))
+                    key, held = tuple(at), Sketch.from_bytes(data)
+            if len(done) > 2000:
+                yield out()
+        if key is not None:
+            done.append((key, held))
+            yield out()
 
-    return parts.select(*groups, "sketch").groupBy(*groups).applyInPandas(merge, f"{keyed}, n bigint, sketch binary")
+    return parts.select(*groups, "sketch").repartition(*groups).sortWithinPartitions(*groups).mapInArrow(merge, f"{keyed}, n bigint, sketch binary")
+
+
+def combined(parts: DataFrame, groups: list[str]) -> DataFrame:
+    """Merges sketches (of days, partitions, tables …) into one for each group: groups, n, sketch."""
+    return _merged(parts, groups)
 
 
 def percentiles(held: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
