@@ -407,7 +407,18 @@ class Classifier:
         return pairs, both[:, :k] + x @ self.deep + self.bias, margins, [t for t, _ in tongues]
 
     def defects(self, questions: list[str], answers: list[str | None]) -> list[str | None]:
-        """The defect of each pair: of the classes over their thresholds whose exact check agrees, the surest."""
+        """The defect of each pair: of the classes over their thresholds whose exact check agrees, the surest. Long texts
+        are taken whole, a few at a time, so memory doesn't follow their number."""
+        found: list[str | None] = []
+        at, chars = 0, 0
+        for i in range(len(answers)):
+            chars += len(answers[i] or "")
+            if chars > 1_000_000 or i + 1 == len(answers):
+                found += self._defects(questions[at : i + 1], answers[at : i + 1])
+                at, chars = i + 1, 0
+        return found
+
+    def _defects(self, questions: list[str], answers: list[str | None]) -> list[str | None]:
         pairs, logits, margins, codes = self.scored(questions, answers)
         over = 1 / (1 + np.exp(-np.clip(logits, -60, 60))) - self.thresholds
         found: list[str | None] = []
@@ -588,7 +599,8 @@ def pairs(cases: DataFrame, responses: DataFrame) -> DataFrame:
     together; of several inputs of one case the one with the least record_id is the question."""
     own = cases.filter("expected_output is not null").select(F.lit("cases").alias("source_table"), "record_id", "input", F.col("expected_output").alias("answer")).distinct()
     key = case_key_or_derived(F.col("case_key"), F.col("dataset_id"), F.col("case_id"))
-    asked = cases.groupBy(key.alias("__key")).agg(F.min(F.struct("record_id", "input")).alias("__q")).select("__key", F.col("__q.input").alias("input"))
+    # written first, so that both sides of the join are plain exchanges, of which the hot ones can be split
+    asked = staged(cases.groupBy(key.alias("__key")).agg(F.min(F.struct("record_id", "input")).alias("__q")).select("__key", F.col("__q.input").alias("input")))
     said = responses.select(F.lit("judge_responses").alias("source_table"), F.col("response_id").alias("record_id"), key.alias("__key"), F.col("raw_response").alias("answer"))
     return own.unionByName(said.join(asked, "__key", "left").select("source_table", "record_id", "input", "answer"))
 

@@ -40,6 +40,7 @@ _HEADING = re.compile(r"[ \t\ufeff]*#{1,6}[ \t]")
 _NUMERIC = re.compile(r"[\d.,/:%\-–]*\d[\d.,/:%\-–]*")
 _THAI_GAP = re.compile(r"(?<=[ก-๎])[ \t\n\u00a0]+(?=[ก-ๆ])|(?<=[ก-๎])[ \t\n\u00a0]+(?=[^\u0e00-\u0e7f]*[.!?](?:\s|$))")
 _THAI = re.compile(r"[ก-๎]")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\s()\[\]{}“”„«»\"‘’,;:!?…。！？]+")
 
 
@@ -207,8 +208,8 @@ def _ends(text: str, start: int, first: int, mark: str, at: int, end: int, opene
     gap, c, wide = i > at, text[i], mark[-1] in "。！？｡．" or mark[0] in "。！？｡．"
     s, closing = _script(c), at > first + len(mark) or text[at - 1] in CLOSERS
     if mark[0] in ";\u037e":
-        letters = [x for x in text[start:first] if x.isalpha()]
-        return bool(letters) and "Ͱ" <= letters[0] <= "\u1fff" and gap and s != "lower"
+        letter = _LETTER.search(text, start, first)
+        return letter is not None and "Ͱ" <= letter[0] <= "\u1fff" and gap and s != "lower"
     if mark.strip("….") == "" and ("…" in mark or len(mark) > 1):
         return gap and s == "upper"
     if wide:
