@@ -4,6 +4,7 @@ step is recorded as events from which all results are folded."""
 from __future__ import annotations
 
 import json
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import identity, text
 from scorelake.operators import candidates, fold, judging, metrics, stats
+from scorelake.sources import benchmarks
 from scorelake.sources.datasets import positions
 from scorelake.sources.runs import RunStore
 from scorelake.sources.secrets import sanitized
 from scorelake.storage import staged
 
 STAGES = ["generate", "reduce", "parse", "score", "judge"]
+DUEL_PROMPT = "Choose the better candidate. Reply A or B only.\nA: {}\nB: {}"  # fixed value
 
 #: Parsers: column of the raw output (text) → column of the parsed text.
 PARSERS: dict[str, Callable[[Column], Column]] = {
@@ -36,7 +39,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "builtin/exact_match": lambda p, e: metrics.exact_match(F.when(p.isNull(), "null").otherwise(_quoted(p)), F.coalesce(e, F.lit("null"))),
     "builtin/choice_accuracy": metrics.choice_accuracy,
     "builtin/math_equivalence": metrics.math_equivalence,
-    "builtin/procbench_final_accuracy": lambda p, e: (text.stripped(p) == text.stripped(text.expected_text(e, "answer"))).cast("double"),
+    "builtin/procbench_final_accuracy": lambda p, e: metrics.final_value_match(F.when(F.try_parse_json(p).isNotNull() & F.startswith(F.ltrim(p), F.lit("[")), p).otherwise(_quoted(p)), e),
 }
 TOKEN_METRICS = {"builtin/f1": "f1", "builtin/bleu": "precision"}
 JUDGED = ("builtin/llm_rubric", "builtin/panel_of_judges", "builtin/majority_vote_judge", "builtin/pairwise_judge")
@@ -90,7 +93,8 @@ def calling(function: Callable[..., Any], retry: Retry, per_minute: float | None
             except Exception as error:  # noqa: BLE001 - a failing call is a result
                 if attempt == retry.attempts or not transient(error):
                     return None, str(error) or type(error).__name__
-                time.sleep(max(float(getattr(error, "retry_after", 0) or 0), retry.delay * retry.backoff ** (attempt - 1)))
+                pause = retry.delay * retry.backoff ** (attempt - 1) * random.uniform(0.9, 1.1)
+                time.sleep(max(float(getattr(error, "retry_after", 0) or 0), pause))
         return None, "no attempt"
 
     return call
@@ -108,6 +112,7 @@ class Experiment:
     metric_functions: dict[str, Callable[[Any, dict], float]] = field(default_factory=dict)
     parser: str | None = None
     reducer: str | None = "builtin/majority_vote"
+    selector: str | None = None
     judges: dict[str, Callable[[str, int], str]] = field(default_factory=dict)
     samples: int = 1
     seeds: list[int] = field(default_factory=list)
@@ -115,6 +120,7 @@ class Experiment:
     retry: Retry = field(default_factory=Retry)
     per_minute: float | None = None
     metadata: dict[str, Any] = field(default_factory=dict)
+    subscribers: list[Callable[[str, str, str], None]] = field(default_factory=list)  # called with run id, stage, before or after
 
     def identity(self) -> dict[str, Any]:
         """What determines the results; metadata, storage and retries don't. The cases count by a hash of their contents,
@@ -122,7 +128,7 @@ class Experiment:
         rows = self.cases.select(F.xxhash64("dataset_id", "case_id", "input", "expected_output").alias("h"))
         digest = rows.agg(F.count("*").alias("n"), F.sum(F.shiftright("h", 20).cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
         return {
-            "cases": [int(digest["n"]), str(digest["s"]), int(digest["x"] or 0)], "generator": self.generator_id, "metrics": self.metric_ids, "parser": self.parser, "reducer": self.reducer,
+            "cases": [int(digest["n"]), str(digest["s"]), int(digest["x"] or 0)], "generator": self.generator_id, "metrics": self.metric_ids, "parser": self.parser, "reducer": self.reducer, "selector": self.selector,
             "judges": sorted(self.judges), "samples": self.samples, "seeds": self.seeds, "rubric": self.rubric,
         }
 
@@ -163,6 +169,15 @@ class Experiment:
             raise ValueError(f"run {run_id} isn't stored")
         return _Run(self, store, run_id).to("judge", again=stage)
 
+    def rejudge(self, store: RunStore, metric_ids: list[str]) -> str:
+        """Asks the judges of the named metrics again; everything else of the stored run stays."""
+        if any(m not in JUDGED or m not in self.metric_ids for m in metric_ids):
+            raise ValueError("only judged metrics of the experiment can be judged again")
+        run_id, _ = self.compile()
+        if store.resume(run_id) is None:
+            raise ValueError(f"run {run_id} isn't stored")
+        return _Run(self, store, run_id).to("judge", again="judge", only=metric_ids)
+
 
 class _Run:
     def __init__(self, experiment: Experiment, store: RunStore, run_id: str) -> None:
@@ -196,12 +211,19 @@ class _Run:
     def _mark(self, kind: str, **members: str) -> None:
         self._record(self.spark.range(1).toDF("__one"), kind, {k: F.lit(v) for k, v in members.items()})
 
-    def to(self, until: str, again: str | None = None) -> str:
+    def to(self, until: str, again: str | None = None, only: list[str] | None = None) -> str:
+        self.only = only
         self._mark("run_started")
         last = STAGES.index(until)
         fresh = STAGES.index(again) if again else len(STAGES)
         for i, stage in enumerate(STAGES[: last + 1]):
+            for told in self.x.subscribers:
+                told(self.run_id, stage, "before")
+            self.spark.sparkContext.setJobDescription(f"{stage} {self.run_id[:12]}")
             getattr(self, stage)(fresh <= i)
+            for told in self.x.subscribers:
+                told(self.run_id, stage, "after")
+        self.spark.sparkContext.setJobDescription(None)
         self._mark("run_completed", completed_through_stage=until)
         return self.run_id
 
@@ -235,8 +257,31 @@ class _Run:
     def _outputs(self) -> DataFrame:
         return self._done("generation_completed").select("case_key", "candidate_id", "candidate_index", F.get_json_object("event_json", "$.result.final_output").alias("output"))
 
+    def _selected(self, outputs: DataFrame) -> DataFrame:
+        """The candidates that the selector leaves: all without one; with best_of_n the winner of duels in the order of
+        candidates, in which a challenger needs more than half of the judges. A case has as many rows as samples."""
+        if self.x.selector is None:
+            return outputs
+        if self.x.selector != "builtin/best_of_n":
+            raise ValueError(f"unknown selector: {self.x.selector}")
+        judges, retry, rate = self.x.judges, self.x.retry, self.x.per_minute
+        schema = "case_key string, candidate_id string, candidate_index int, output string"
+
+        def duel(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("candidate_index", kind="stable").reset_index(drop=True)
+            asked = {n: calling(j, retry, rate) for n, j in judges.items()}
+            best = 0
+            for i in range(1, len(rows) if judges else 1):
+                prompt = DUEL_PROMPT.format(rows["output"][best], rows["output"][i])
+                votes = [str(answer or "").split()[:1] for answer, _ in (asked[n](prompt, 0) for n in sorted(asked))]
+                if sum(v == ["b"] for v in ([w.lower() for w in v] for v in votes)) > len(judges) / 2:
+                    best = i
+            return rows.iloc[[best]]
+
+        return outputs.groupBy("case_key").applyInPandas(duel, schema)
+
     def reduce(self, again: bool) -> None:
-        outputs = self._outputs()
+        outputs = self._selected(self._outputs())
         if self.x.reducer is None:
             chosen = candidates.first_candidate(outputs, ["case_key"], "candidate_index", "output")
         else:
@@ -294,7 +339,7 @@ class _Run:
         return rows.mapInPandas(scored, "dataset_id string, case_id string, case_key string, candidate_id string, candidate_index int, value double, error_message string")
 
     def judge(self, again: bool) -> None:
-        wanted = [m for m in self.x.metric_ids if m in JUDGED]
+        wanted = [m for m in self.x.metric_ids if m in JUDGED and (self.only is None or m in self.only)]
         if not wanted:
             return
         names = sorted(self.x.judges)
@@ -354,3 +399,15 @@ def estimate(experiment: Experiment) -> dict[str, int]:
         "total_cases": cases, "candidate_count": n, "generation_tasks": cases * n, "reduction_tasks": cases if n > 1 else 0, "parse_tasks": cases if experiment.parser else 0, "score_tasks": cases * len(experiment.metric_ids),
         "judge_calls": calls, "total_tokens": tokens_in + tokens_out + calls * judging.JUDGE_TOKENS,
     }
+
+
+def run_benchmark(store: RunStore, rows: DataFrame, name: str, generator: Callable[[dict, int], Any] = demo_generator, judge: Callable[[str, int], str] = demo_judge, **options: Any) -> str:
+    """Runs a benchmark's recipe over its rows with the components it names and returns the run id. Recipes that execute
+    code are scored by operators.execution with an executor of the user's; their other metrics must be given."""
+    recipe, _ = benchmarks.recipe(name)
+    raw = benchmarks.materialized(rows, name)
+    cases = raw.withColumn("input", _quoted(F.col("input")))
+    if recipe.executes_code and "metric_ids" not in options:
+        raise ValueError(f"{name} executes code; pass metric_ids with metric_functions, or use operators.execution")
+    settings = {"metric_ids": [recipe.metric], "parser": recipe.parser, "samples": recipe.samples, "judges": {f"judge-{i}": judge for i in range(recipe.judges)}} | options
+    return Experiment(cases, generator, **settings).run(store)

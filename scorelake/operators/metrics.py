@@ -24,6 +24,14 @@ def math_equivalence(answer: Column, expected_json: Column) -> Column:
     return F.when((mine == "") | (gold == "") | mine.isNull(), 0.0).otherwise((text.math_text(mine) == text.math_text(gold)).cast("double"))
 
 
+def final_value_match(value_json: Column, expected_json: Column) -> Column:
+    """1 if the values are equal after white space around texts, and lists item by item; whole numbers equal their
+    fractions of zero. ``expected_json`` may be an object with a member answer."""
+    held = F.when(F.startswith(F.ltrim(expected_json), F.lit("{")), F.to_json(F.try_variant_get(F.try_parse_json(expected_json), "$.answer", "variant"))).otherwise(expected_json)
+    trim = lambda c: F.regexp_replace(c, r'(?<=[\[,]\s{0,9}"|^\s{0,9}")(?:\s|\\[nrt])+|(?:\s|\\[nrt])+(?="\s*(?:[\],]|$))', "")
+    return comparable_text(trim(F.coalesce(value_json, F.lit("null")))).eqNullSafe(comparable_text(trim(F.coalesce(held, F.lit("null"))))).cast("double")
+
+
 def token_scores(rows: DataFrame, keys: list[str], prediction: str, expected: str) -> DataFrame:
     """keys, overlap, n_predicted, n_expected, f1, precision: token overlap as multisets.
 

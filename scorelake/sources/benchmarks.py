@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -237,7 +238,8 @@ def recipe(name: str) -> tuple[Recipe, str | None]:
     """The recipe and variant of ``name`` or ``name:variant``; an unknown name or variant is an error."""
     base, _, variant = name.partition(":")
     if base not in RECIPES:
-        raise KeyError(f"unknown benchmark: {base}")
+        near = difflib.get_close_matches(base, RECIPES, 3, 0.5)
+        raise KeyError(f"unknown benchmark: {base}" + (f"; did you mean {', '.join(near)}?" if near else ""))
     found = RECIPES[base]
     if variant and (found.variants is None or found.variants and variant not in found.variants):
         raise ValueError(f"{base} has no variant {variant}")

@@ -102,3 +102,37 @@ class RunStore:
     def export(self, path: str, kind: str, run_id: str | None = None) -> None:
         """Writes the score table as csv, json, markdown or latex."""
         report.write_report(self.projection("score_rows", run_id), path, kind)
+
+
+def _memory(spark: SparkSession, path: str) -> RunStore:
+    import tempfile
+
+    return RunStore(spark, tempfile.mkdtemp(prefix="runs-"))
+
+
+#: Kinds of stores: name → function of a session and a path. Users add their own, for example over JDBC.
+BACKENDS: dict[str, Callable[[SparkSession, str], RunStore]] = {
+    "memory": _memory,
+    **{kind: (lambda spark, path, kind=kind: RunStore(spark, path, kind)) for kind in ("parquet", "orc", "json")},
+}
+
+
+def create_store(spark: SparkSession, kind: str, path: str = "") -> RunStore:
+    """A store of a registered kind."""
+    if kind not in BACKENDS:
+        raise KeyError(f"unknown store: {kind}; known: {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[kind](spark, path)
+
+
+def evaluation(store: RunStore, run_id: str, case_key: str, metric_id: str) -> str | None:
+    """The last evaluation of a case by a metric, as its payload's JSON; None if there is none."""
+    rows = store.events(run_id).filter((F.col("event_type") == "evaluation_completed") & (F.col("case_key") == case_key) & (F.col("metric_id") == metric_id))
+    found = rows.agg(F.max_by("event_json", "sequence")).first()[0]
+    return found
+
+
+def snapshot_report(store: RunStore, run_id: str) -> DataFrame:
+    """One row about a run: status, stage, cases seen, completed and failed, metrics, score rows, errors."""
+    log = fold.event_log(store.events(run_id))
+    rows = fold.score_rows(log).agg(F.count_distinct("metric_id").alias("metrics"), F.count("*").alias("score_rows"), F.count_if(F.col("outcome") == "error").alias("errors"))
+    return fold.run_states(log).join(readmodels.progress(fold.case_states(log)), "run_id", "left").join(rows.withColumn("run_id", F.lit(run_id)), "run_id")

@@ -109,3 +109,24 @@ def test_stores_and_code(spark):
     cases = spark.createDataFrame([("a", "print(1)", "py", [("6", "4\n"), ("7", "4")]), ("b", "", "py", [("6", "4")]), ("n", "x", "py", [])], "k string, code string, language string, tests array<struct<input:string,output:string>>")
     rates = {r["k"]: r["pass_rate"] for r in execution.pass_rate(cases, lambda code, language, stdin: ("4\r\n" if stdin == "6" else "5", 0), ["k"]).collect()}
     assert rates == {"a": 0.5, "b": 0.0}
+
+
+def test_functions_are_compared_with_their_reference(spark):
+    import contextlib
+    import io
+
+    def executor(program, language, stdin):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            exec(program, {})
+        return out.getvalue(), 0
+
+    rows = [("ok", "def f(x): return x + 1", "def f(x): return 1 + x", "f", "", ["[1]", "[2]"]), ("half", "def f(x): return 2", "def f(x): return x + 1", "f", "", ["[1]", "[2]"]), ("none", "", "x", "f", "", ["[1]"]), ("script", "def f(x): return 0", "def f(x): return x", "f", "def check(g):\n    assert g(1) == 1", None)]
+    df = spark.createDataFrame(rows, "k string, code string, reference string, function string, script string, inputs array<string>")
+    assert {r["k"]: r["pass_rate"] for r in execution.function_pass_rate(df, executor, ["k"]).collect()} == {"ok": 1.0, "half": 0.5, "none": 0.0, "script": 0.0}
+
+
+def test_final_values(spark):
+    pairs = [('"a "', '{"answer": "a"}', 1.0), ("1", '{"answer": 1.0}', 1.0), ('[" a", 1.0]', '{"answer": ["a", 1]}', 1.0), ('"1"', '{"answer": 1}', 0.0), (None, '{"answer": null}', 1.0), ('"x"', '"x"', 1.0)]
+    df = spark.createDataFrame(pairs, "p string, e string, want double")
+    assert [r["got"] for r in df.withColumn("got", metrics.final_value_match(F.col("p"), F.col("e"))).collect()] == [w for _, _, w in pairs]

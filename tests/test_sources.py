@@ -153,3 +153,53 @@ def test_cli(spark, tmp_path, capsys):
     run = capsys.readouterr().out.strip().splitlines()[-1]
     assert cli.main([*where, "quickcheck", run]) == 0 and json.loads(capsys.readouterr().out)["mean"] == 1.0
     assert cli.main([*where, "report", run, "--format", "markdown", "--out", str(tmp_path / "out")]) == 0
+
+
+def test_selection_rejudging_and_benchmarks(spark, tmp_path):
+    from scorelake.sources import runs
+
+    store = runs.create_store(spark, "json", str(tmp_path / "json"))
+    cases = datasets.from_inline(spark, [{"case_id": "c", "input": "q", "expected_output": "better"}], "d")
+    seen = []
+    x = engine.Experiment(
+        cases, lambda case, seed: "better" if seed == 2 else "worse", "g", ["builtin/exact_match", "builtin/majority_vote_judge"], seeds=[1, 2, 3], selector="builtin/best_of_n", reducer=None,
+        judges={"j": lambda p, s: "B" if p.endswith("B: better") else "A", "k": lambda p, s: "b" if p.endswith("better") else "pass"}, subscribers=[lambda r, stage, when: seen.append((stage, when))],
+    )
+    run = x.run(store)
+    rows = {r["metric_id"]: r["value"] for r in store.projection("score_rows", run).collect()}
+    assert rows["builtin/exact_match"] == 1.0 and seen[0] == ("generate", "before") and seen[-1] == ("judge", "after")
+    before = store.events(run).filter("event_type = 'evaluation_completed'").count()
+    x.rejudge(store, ["builtin/majority_vote_judge"])
+    assert store.events(run).filter("event_type = 'evaluation_completed'").count() == before + 1
+    assert "judge_calls" in runs.evaluation(store, run, "1:d:c", "builtin/majority_vote_judge") and runs.snapshot_report(store, run).first()["score_rows"] == 2
+    rows = spark.createDataFrame([("1", "2+2?", "4")], "problem_idx string, problem string, answer string")
+    told = engine.run_benchmark(store, rows, "aime_2025", lambda case, seed: "so \\boxed{4}")
+    assert store.projection("score_rows", told).first()["value"] == 1.0
+    with pytest.raises(KeyError, match="did you mean"):
+        benchmarks.recipe("aime_225")
+    with pytest.raises(KeyError):
+        runs.create_store(spark, "nothing")
+
+
+def test_queue(tmp_path):
+    from scorelake import queue
+
+    root = str(tmp_path)
+    queue.submit(root, "b", {"n": 2})
+    queue.submit(root, "a", {"n": 1})
+    assert queue.work_once(root, lambda m: m["config"]["n"]) == 1
+    with pytest.raises(ZeroDivisionError):
+        queue.work_once(root, lambda m: 1 / 0)
+    assert queue.work_once(root, lambda m: 0) is None and queue.requeue(root) == 1 and queue.work_once(root, lambda m: m["run_id"]) == "b"
+    request = queue.submit(root, "c", {}, "batch")
+    assert queue.batch(str(request), lambda m: m["mode"]) == "batch" and not request.exists()
+
+
+def test_adapters():
+    from scorelake import adapters
+
+    chat = adapters.ChatGenerator(lambda messages, seed, **o: (messages[0]["content"], {"input_tokens": 3}, {"X-RateLimit-Limit": "90"}), "Be brief.")
+    assert chat({"input": {"b": 1, "a": "é"}}, 5) == 'Be brief.\n\n{"a": "é", "b": 1}' and chat.last_usage == {"prompt_tokens": 3, "completion_tokens": 0} and chat.last_limit == 90
+    graph = adapters.GraphGenerator(lambda value, seed: [{"name": "plan", "output": None}, {"name": "say", "output": value}])
+    assert graph({"input": "x"}, 0) == "x" and graph.trace[0]["step_name"] == "plan"
+    assert adapters.token_usage(None) is None and adapters.requests_per_minute({"a": 1}) is None
