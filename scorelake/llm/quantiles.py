@@ -92,6 +92,12 @@ class Sketch:
         wanted = [self.n - max(1, int(np.ceil(s * self.n - 1e-9))) + 1 for s in shares]
         return [float(values[min(np.searchsorted(above, w), len(values) - 1)]) for w in wanted]
 
+    def rank_bounds(self, shares: list[float]) -> list[int]:
+        """Bound of the error of each share's rank, in ranks: 0 while nothing was compacted."""
+        if all(not len(x) for x in self.levels[1:]):
+            return [0] * len(shares)
+        return [int(np.ceil(rank_error(self.section) * (self.n - max(1, int(np.ceil(s * self.n - 1e-9))) + 1))) for s in shares]
+
     def to_bytes(self) -> bytes:
         head = struct.pack("<iiqi", self.section, self.seed, self.n, len(self.levels))
         return head + b"".join(struct.pack("<qi", t, len(x)) + x.astype("<f8").tobytes() for t, x in zip(self.turns, self.levels))
@@ -206,3 +212,20 @@ def percentiles(held: DataFrame, groups: list[str], shares: dict[str, float]) ->
             yield pa.RecordBatch.from_arrays(made, names=[*groups, "n", *names, "rank_error"])
 
     return held.select(*groups, "n", "sketch").mapInArrow(read, f"{keyed}, n bigint, {', '.join(f'{x} double' for x in names)}, rank_error double")
+
+
+def percentile_rows(held: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
+    """The percentiles of sketches, one row each: groups, n, percentile DOUBLE (of 100), value, rank_bound BIGINT (the
+    true rank of ``value`` differs from the wanted one by no more)."""
+    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*groups).schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Sketch.from_bytes(x) for x in batch.column(len(groups) + 1).to_pylist()]
+            src = pa.array(np.repeat(np.arange(len(found)), len(shares)), pa.int32())
+            values = pa.array([v for s in found for v in s.quantiles(shares)], pa.float64())
+            bounds = pa.array([b for s in found for b in s.rank_bounds(shares)], pa.int64())
+            made = [c.take(src) for c in batch.columns[: len(groups) + 1]] + [pa.array([100 * s for s in shares] * len(found), pa.float64()), values, bounds]
+            yield pa.RecordBatch.from_arrays(made, names=[*groups, "n", "percentile", "value", "rank_bound"])
+
+    return held.select(*groups, "n", "sketch").mapInArrow(read, f"{keyed}, n bigint, percentile double, value double, rank_bound bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.llm import consensus, mixing, packing, pairs, quantiles, sentences
 from scorelake.storage import staged, table
 
-SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+SHARES = [0.5, 0.9, 0.99, 0.999]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,10 +22,11 @@ def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of latency by judge model and day, and by model over all days (day null, all_days true)."""
+    """Percentiles of latency by judge model and day, and by model over all days (day null, all_days true), each with the
+    bound of its own rank's error."""
     days = staged(_day_sketches(spark, d))
-    by_day = quantiles.percentiles(days, ["judge_model_id", "day"], SHARES).withColumn("all_days", F.lit(False))
-    whole = quantiles.percentiles(quantiles.combined(days, ["judge_model_id"]), ["judge_model_id"], SHARES)
+    by_day = quantiles.percentile_rows(days, ["judge_model_id", "day"], SHARES).withColumn("all_days", F.lit(False))
+    whole = quantiles.percentile_rows(quantiles.combined(days, ["judge_model_id"]), ["judge_model_id"], SHARES)
     return by_day.unionByName(whole.withColumns({"day": F.lit(None).cast("date"), "all_days": F.lit(True)}))
 
 

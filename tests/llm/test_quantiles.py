@@ -25,6 +25,7 @@ def test_rank_error_is_relative_to_the_top(shape):
         rank = max(1, int(np.ceil(share * n)))
         off = max(0, low - rank, rank - high)
         assert off <= Q.rank_error() * (n - rank + 1) + 1, (share, off, n - rank)
+        assert whole.rank_bounds([share])[0] >= off
 
 
 def test_small_streams_are_exact():
@@ -40,6 +41,8 @@ def test_groups_days_and_bad_values(spark):
     days = Q.sketches(rows, ["m", "day"], "v").cache()
     got = {(r["m"], r["day"]): r for r in Q.percentiles(days, ["m", "day"], {"p50": 0.5, "p100": 1.0}).collect()}
     assert len(got) == 4 and got["a", day]["n"] == 300 and got["a", day]["p50"] == 448.0 and got[None, day]["p50"] == 5.0
+    rows_of = Q.percentile_rows(days, ["m", "day"], [0.5, 1.0]).filter("m = 'a'").collect()
+    assert len(rows_of) == 6 and {r["rank_bound"] for r in rows_of} == {0} and {r["percentile"] for r in rows_of} == {50.0, 100.0}
     whole = {r["m"]: r for r in Q.percentiles(Q.combined(days, ["m"]), ["m"], {"p50": 0.5}).collect()}
     assert whole["a"]["n"] == 900 and abs(whole["a"]["p50"] - 450) <= 900 * Q.rank_error()
     assert Q.percentiles(Q.sketches(rows.limit(0), ["m"], "v"), ["m"], {"p50": 0.5}).count() == 0
