@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from scorelake.functions import identity, text
 from scorelake.functions.payload import case_key_or_derived
 from scorelake.operators import candidates, fold, judging, metrics, nested, readmodels, report, stats, store
-from scorelake.storage import table
+from scorelake.sources.runs import EVENTS
+from scorelake.storage import staged, table
+from scorelake.streaming import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,7 +89,8 @@ def query(sql: str | None = None):
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return fold.event_log(table(spark, d, "run_events"))
+    """The log, written once: read models use it several times with different columns, and payloads are parsed only once."""
+    return staged(fold.event_log(table(spark, d, "run_events")))
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +309,7 @@ SELECT *, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_su
 def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """Every run against the run with the most scores, by metric: wins, losses, ties, mean difference, sign test."""
     rows = fold.score_rows(_log(spark, d))
-    one = rows.filter("value is not null").groupBy("run_id", "case_id", "metric_id").agg(F.max_by("value", "case_key").alias("value"))
+    one = staged(rows.filter("value is not null").groupBy("run_id", "case_id", "metric_id").agg(F.max_by("value", "case_key").alias("value")))  # read three times
     hub = one.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(1).select("run_id")
     base = one.join(hub, "run_id", "left_semi").drop("run_id")
     found = stats.paired_compare(base, one.join(hub, "run_id", "left_anti"), ["case_id", "metric_id"], ["run_id", "metric_id"])
@@ -368,6 +371,13 @@ def replay_from_parse(spark: SparkSession, d: str) -> DataFrame:
     return fold.replayed(fold.case_states(_log(spark, d)), "parse").select("run_id", "case_key", "n_generated", "reduced_candidate_id", "parse_error", "n_scores", "n_evaluations")
 
 
+@query("SELECT event_type, count(DISTINCT (run_id, sequence)) AS n FROM run_events GROUP BY 1")
+def live_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type as a stream delivers them, redelivered copies counted once: files are read as they arrive, batches
+    are appended, and the counts are read when the stream has caught up."""
+    return live.caught_up_counts(live.event_stream(spark, f"{d}/run_events.parquet", "id bigint, " + EVENTS))
+
+
 # --- judges
 
 

@@ -47,10 +47,31 @@ def p5_cases(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p2_events": p2_events, "p2_rescue_rates": p2_rescue_rates, "p5_judge_responses": p5_judge_responses, "p5_cases": p5_cases,
 }
+_DECODED = "CASE WHEN json_type(try_cast(event_json AS JSON)) = 'VARCHAR' THEN try_cast((try_cast(event_json AS JSON)->>'$') AS JSON) ELSE try_cast(event_json AS JSON) END"
+
+
+def _children(source: str, column: str, paths: list[str], prefix: str = "", parent: str = "-1") -> str:
+    """SQL of the elements of the arrays (or single objects) at ``paths`` of a JSON column."""
+    values = ", ".join(f"('{p}')" for p in paths)
+    return f"""SELECT run_id, sequence, '{prefix}' || path AS child_path, parent_pos, (i - 1)::INT AS child_pos, x FROM (SELECT run_id, sequence, path, parent_pos, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
+    SELECT run_id, sequence, path, parent_pos, CASE json_type(a) WHEN 'ARRAY' THEN from_json(a, '["JSON"]') WHEN 'OBJECT' THEN [a] ELSE [] END AS l FROM (
+      SELECT run_id, sequence, path, {parent} AS parent_pos, json_extract({column}, '$.' || path) AS a FROM {source}, (VALUES {values}) v(path)))) WHERE x IS NOT NULL AND json_type(x) <> 'NULL'"""
+
+
 _METRIC = ", ".join(f"p->>'$.{m}'" for m in changes.METRIC_MEMBERS)
 ORACLE: dict[str, str] = {
     "p4_found": f"""WITH raw AS (SELECT *, CASE WHEN json_type(try_cast(event_json AS JSON)) = 'VARCHAR' THEN try_cast((try_cast(event_json AS JSON)->>'$') AS JSON) ELSE try_cast(event_json AS JSON) END AS p
   FROM run_events WHERE event_type IN ('score_completed', 'score_failed')),
 c AS (SELECT run_id, coalesce(nullif(trim(case_key), ''), length(dataset_id) || ':' || dataset_id || ':' || case_id, case_id) AS case_key, candidate_id, coalesce(nullif(trim(metric_id), ''), {_METRIC}) AS metric_id, sequence, event_type = 'score_completed' AS ok FROM raw)
-SELECT run_id, case_key, candidate_id, metric_id, max(sequence) AS sequence FROM c GROUP BY 1, 2, 3, 4 HAVING arg_max(ok, sequence)"""
+SELECT run_id, case_key, candidate_id, metric_id, max(sequence) AS sequence FROM c GROUP BY 1, 2, 3, 4 HAVING arg_max(ok, sequence)""",
+    "p5_found": f"""WITH j AS (SELECT run_id, sequence, {_DECODED} AS p FROM run_events WHERE event_type = 'evaluation_completed'),
+e AS (SELECT run_id, sequence, CASE json_type(p, '$.execution') WHEN 'VARCHAR' THEN try_cast(p->>'$.execution' AS JSON) ELSE json_extract(p, '$.execution') END AS x0 FROM j),
+t AS ({_children("e", "x0", ["judge_calls", "judge_responses", "parsed_judgments", "scores"])}),
+r AS (SELECT run_id, sequence, child_pos AS up, x AS x0 FROM t WHERE child_path = 'judge_responses'),
+k AS ({_children("r", "x0", ["retry_history", "conversation_trace.messages"], "judge_responses.", "up")}),
+s AS (SELECT run_id, -1::BIGINT AS sequence, try_cast(snapshot_json AS JSON) AS x0 FROM run_snapshots),
+u AS ({_children("s", "x0", ["datasets", "component_refs.metrics", "component_refs.parsers", "component_refs.judge_models"])}),
+d AS (SELECT run_id, sequence, child_pos AS up, x AS x0 FROM u WHERE child_path = 'datasets'),
+c AS ({_children("d", "x0", ["cases"], "datasets.", "up")})
+SELECT DISTINCT run_id, sequence, child_path, parent_pos::INT AS parent_pos, child_pos FROM (SELECT * FROM t UNION ALL SELECT * FROM k UNION ALL SELECT * FROM u UNION ALL SELECT * FROM c)""",
 }

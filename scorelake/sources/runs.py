@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators import fold, readmodels, report, store
+from scorelake.storage import staged
 
 EVENTS = (
     "run_id string, sequence bigint, event_type string, schema_version string, occurred_at timestamp, dataset_id string, case_id string, case_key string, candidate_id string, candidate_index int, "
@@ -84,11 +85,11 @@ class RunStore:
         """A derived table, computed from the log."""
         if name not in PROJECTIONS:
             raise KeyError(f"unknown projection: {name}")
-        return PROJECTIONS[name](fold.event_log(self.events(run_id)))
+        return PROJECTIONS[name](staged(fold.event_log(self.events(run_id))))
 
     def refresh(self, name: str, run_ids: list[str]) -> None:
         """Recomputes the stored rows of a derived table for the given runs and replaces their partitions."""
-        log = fold.event_log(self.events().filter(F.col("run_id").isin(run_ids)))
+        log = staged(fold.event_log(self.events().filter(F.col("run_id").isin(run_ids))))
         PROJECTIONS[name](log).write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").save(f"{self.path}/derived/{name}")
 
     def clear(self, run_id: str) -> None:
@@ -133,6 +134,6 @@ def evaluation(store: RunStore, run_id: str, case_key: str, metric_id: str) -> s
 
 def snapshot_report(store: RunStore, run_id: str) -> DataFrame:
     """One row about a run: status, stage, cases seen, completed and failed, metrics, score rows, errors."""
-    log = fold.event_log(store.events(run_id))
+    log = staged(fold.event_log(store.events(run_id)))
     rows = fold.score_rows(log).agg(F.count_distinct("metric_id").alias("metrics"), F.count("*").alias("score_rows"), F.count_if(F.col("outcome") == "error").alias("errors"))
     return fold.run_states(log).join(readmodels.progress(fold.case_states(log)), "run_id", "left").join(rows.withColumn("run_id", F.lit(run_id)), "run_id")

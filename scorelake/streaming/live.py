@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ from scorelake.storage import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per_trigger: int = 64) -> DataFrame:
-    """The events of Parquet files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The events of Parquet files that arrive in a folder; a path of one file is a stream of that file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(str(place.getParent()))
+    return reader.parquet(path)
 
 
 def follow(events: DataFrame, store: RunStore, names: list[str], checkpoint: str | None = None, available_now: bool = True):
@@ -43,6 +48,18 @@ def follow(events: DataFrame, store: RunStore, names: list[str], checkpoint: str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
+def caught_up_counts(events: DataFrame) -> DataFrame:
+    """event_type, n of what a stream holds now, copies of an event counted once. Batches are appended as narrow rows, so
+    the state that a running count of distinct events would need is a table, not memory."""
+    spark = events.sparkSession
+    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    rows = events.select("run_id", "sequence", "event_type")
+    query = rows.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = spark.read.schema(rows.schema).parquet(f"{place}/rows")
+    return held.distinct().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def counts_by_window(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by type and window of occurred_at, copies of an event counted once within the lateness allowed."""
     rows = events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["run_id", "sequence"])

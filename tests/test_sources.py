@@ -203,3 +203,13 @@ def test_adapters():
     graph = adapters.GraphGenerator(lambda value, seed: [{"name": "plan", "output": None}, {"name": "say", "output": value}])
     assert graph({"input": "x"}, 0) == "x" and graph.trace[0]["step_name"] == "plan"
     assert adapters.token_usage(None) is None and adapters.requests_per_minute({"a": 1}) is None
+
+
+def test_a_stream_of_one_file_counts_copies_once(spark, tmp_path):
+    from scorelake.sources.runs import EVENTS
+
+    row = ("r", 1, "score_completed", "1", None, "d", "c", "1:d:c", "k", 0, "m", None, None, "{}")
+    spark.createDataFrame([row, row, row[:1] + (2,) + row[2:]], EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    file = next((tmp_path / "in").glob("*.parquet"))
+    for path in (str(file), str(tmp_path / "in")):
+        assert [tuple(r) for r in live.caught_up_counts(live.event_stream(spark, path)).collect()] == [("score_completed", 2)]
