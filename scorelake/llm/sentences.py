@@ -162,10 +162,12 @@ def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
 
 def _word_before(text: str, start: int, at: int) -> str:
     """The word that ends at ``at`` (where its period stands), without brackets and quotation marks around it."""
-    i = at
-    while i > start and not text[i - 1].isspace() and at - i < 40:
-        i -= 1
-    return text[i:at].strip("()[]{}（）“”„«»\"'‘’*_`,;:—–。！？、，：「」")
+    low = max(start, at - 40)
+    i = max(text.rfind(" ", low, at), text.rfind("\n", low, at), low - 1) + 1
+    word = text[i:at]
+    if not word.isascii() or "\t" in word:  # other white space
+        word = "" if word[-1:].isspace() else (word.split() or [""])[-1]
+    return word.strip("()[]{}（）“”„«»\"'‘’*_`,;:—–。！？、，：「」")
 
 
 def _next(text: str, at: int, end: int) -> int:
