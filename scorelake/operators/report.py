@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import latex_escaped
+from scorelake.storage import staged
 
 COLUMNS = ["run_id", "case_id", "case_key", "metric_id", "candidate_id", "value", "outcome", "error_category", "error_message"]
 
@@ -23,10 +24,7 @@ def quickcheck(rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with their position from 1 in the order of ``order``: range-partitioned, counted by partition, and numbered
     within it, so no task sees them all."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    from scorelake.storage import staged
-
-    parts = staged(parts)
+    parts = staged(rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
