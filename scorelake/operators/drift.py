@@ -311,13 +311,21 @@ def _cosine(a: dict[int, int], b: dict[int, int]) -> float:
     return sum(n * b.get(k, 0) for k, n in a.items()) / norm if norm else 0.0
 
 
+def _alike(a: dict[int, int], b: dict[int, int]) -> float:
+    """How far two contents agree: by proportion (cosine) or, where other runs shift proportions, by the smaller share of
+    either side whose forms the other side has too."""
+    common = a.keys() & b.keys()
+    shared = min((sum(x[k] for k in common) / max(1, sum(x.values())) for x in (a, b)), default=0.0)
+    return max(_cosine(a, b), shared)
+
+
 def _words(field: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", field.rpartition(".")[2])}
 
 
 def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str, str, str]]:
     """(change, field, new_field) between two files. A field that ends and one that begins between the same lasting
-    neighbours of the same container are one renamed field if the shapes of their values agree (cosine ≥ ``alike``), or
+    neighbours of the same container are one renamed field if the shapes of their values agree (at least ``alike``), or
     if the values were retyped as well and nothing else fits the place."""
     ended, begun = [f for f in before.fields if f not in after.type], [f for f in after.fields if f not in before.type]
     lasting = {f for f in after.fields if f in before.type}
@@ -336,8 +344,8 @@ def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str,
         for b in begun:
             if old[a][0] != new[b][0] or (old[a][1] != new[b][1] and old[a][2] != new[b][2]):
                 continue
-            same = _cosine(before.content(a, True), after.content(b, True))
-            exact = _cosine(before.content(a, False), after.content(b, False))
+            same = _alike(before.content(a, True), after.content(b, True))
+            exact = _alike(before.content(a, False), after.content(b, False))
             words = len(_words(a) & _words(b)) / max(1, len(_words(a) | _words(b)))
             retyped = before.type[a] != after.type[b] and "unknown" not in (before.type[a], after.type[b])
             unseen = "unknown" in (before.type[a], after.type[b])
