@@ -22,6 +22,8 @@ NONFINAL = frozenset(
     "mr mrs ms dr prof st no nos fig figs sec cf vs approx ca nr abb vgl bzgl z.b d.h dipl.-ing hr fr frl mm mme sra sr srta ud uds dra pág fig núm см рис табл проф им ул стр env κ β δ e.g i.e".split()
 )
 FINAL = frozenset("etc usw inc ltd corp jr sr bros κ.λπ u.s u.k a.m p.m".split())
+#: Kana that continue a sentence after a quotation (fixed values).
+PARTICLES = frozenset("とっはがをにのでもへや")
 #: Words before a German ordinal number (fixed values).
 BEFORE_ORDINAL = frozenset("im am der die das den dem des vom zum zur beim bis ab seit ins ans jeder jede jedes ihr sein unser".split())
 #: Chinese verbs of saying that close an attribution after a quotation (fixed values).
@@ -40,6 +42,8 @@ _HEADING = re.compile(r"[ \t\ufeff]*#{1,6}[ \t]")
 _NUMERIC = re.compile(r"[\d.,/:%\-–]*\d[\d.,/:%\-–]*")
 _THAI_GAP = re.compile(r"(?<=[ก-๎])[ \t\n\u00a0]+(?=[ก-ๆ])|(?<=[ก-๎])[ \t\n\u00a0]+(?=[^\u0e00-\u0e7f]*[.!?](?:\s|$))")
 _THAI = re.compile(r"[ก-๎]")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_FOREIGN = re.compile(r"(?:[A-Za-z][\w-]*?|\d[\d.,]*)(?: v?\d[\d.]*)?\s?[\u3040-\u30ff\u3400-\u9fff]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\s()\[\]{}“”„«»\"‘’,;:!?…。！？]+")
 
@@ -167,7 +171,7 @@ def _word_before(text: str, start: int, at: int) -> str:
     word = text[i:at]
     if not word.isascii() or "\t" in word:  # other white space
         word = "" if word[-1:].isspace() else (word.split() or [""])[-1]
-    return word.strip("()[]{}（）“”„«»\"'‘’*_`,;:—–。！？、，：「」")
+    return word.strip("()[]{}（）“”„«»\"'‘’*_`,;:—–。！？、，：「」\ufeff\u200b")
 
 
 def _next(text: str, at: int, end: int) -> int:
@@ -211,26 +215,27 @@ def _ends(text: str, start: int, first: int, mark: str, at: int, end: int, opene
     s, closing = _script(c), at > first + len(mark) or text[at - 1] in CLOSERS
     if mark[0] in ";\u037e":
         letter = _LETTER.search(text, start, first)
-        return letter is not None and "Ͱ" <= letter[0] <= "\u1fff" and gap and s != "lower"
+        return letter is not None and "Ͱ" <= letter[0] <= "\u1fff" and gap and (s != "lower" or _known(text, i, end, lexicon, own))
     if mark.strip("….") == "" and ("…" in mark or len(mark) > 1):
         return gap and s == "upper"
     if wide:
-        if c in "，、；：,;:）)」』”" or closing and not gap and s in ("hiragana", "hangul"):
+        if c in "，、；：,;:）)」』”" or closing and not gap and (c in PARTICLES or s == "hangul"):
             return False
         if closing and opened == _next(text, start, end) and text[opened] in "“「『" and SAYING.match(text, i, min(end, i + 60)):
             return False
         return True
     if mark[0] in "।॥۔":
         return c not in ",;:)"
-    if closing and not gap and s in ("hangul", "hiragana"):
+    if closing and not gap and (c in PARTICLES or s == "hangul"):
         return False
     how = _opens(text, i, end, False)
     if how == "no":
         return False
+    if not gap and _then_cjk(text, start, first, at, end):
+        return True
     if not gap:
         return s in ("cjk", "hiragana") or closing and s == "upper" and "." not in mark or (c in "“「『《«¿¡" and how == "yes")
-    opener = _opening_word(text, i, end) if how == "lower" else ""
-    known = how == "lower" and (own.opening.get(opener, 0) > 0 or opener in lexicon.openers)
+    known = how == "lower" and _known(text, i, end, lexicon, own)
     if mark[0] != "." or len(mark) > 1 and mark.strip(".») "):
         return how == "yes" or known
     word = _word_before(text, start, first)
@@ -250,14 +255,27 @@ def _ends(text: str, start: int, first: int, mark: str, at: int, end: int, opene
         return True
     if _is_initial(word):
         before = _word_before(text, start, _back(text, first - len(word), start))
-        if word == "г" and _NUMERIC.fullmatch(before) and s == "upper":
-            return True
-        if word in ("д", "п") and before.lower() in ("т.", "т") and how == "yes":
-            return s != "lower"
+        if word == "г" and _NUMERIC.fullmatch(before) or word in ("д", "п") and before.lower() in ("т.", "т"):
+            return how == "yes" or known
         return "." in word and _plain(word, lexicon, own) and s == "upper"
     return _plain(word, lexicon, own)
 
 
+def _known(text: str, i: int, end: int, lexicon: Lexicon, own: Evidence) -> bool:
+    """Whether the lower-case word at ``i`` is known to open sentences."""
+    word = _opening_word(text, i, end)
+    return own.opening.get(word, 0) > 0 or word in lexicon.openers
+
+
+def _then_cjk(text: str, start: int, first: int, at: int, end: int) -> bool:
+    """Whether a sentence in another script ends here without a blank and one in Chinese or Japanese follows that begins
+    with a name, a figure or an identifier."""
+    last = text[first - 1 : first]
+    if not (last.isalpha() or last in "%)]”»\"'" or at > first + 1 or last.isspace() or last.isdigit() and text[at].isupper()):
+        return False
+    return _FOREIGN.match(text, at, min(end, at + 60)) is not None and (text[first] in "?!" or text.count(" ", start, first) >= 2) and _CJK.search(text, start, first) is None
+
+
 def _back(text: str, at: int, start: int) -> int:
     while at > start and text[at - 1].isspace():
         at -= 1

@@ -32,6 +32,14 @@ def test_blocks_lists_and_headings():
     assert [text[a:b] for a, b in S.sentences(text)] == ["# A heading. With a stop", "One line\nwraps here.", "Two.", "1. first item. Still it", "2. second", "- x", "* y", "Notes by Dr. Vale", "Im\n1. Quartal war es gut."]
 
 
+def test_scripts_that_meet_without_a_blank():
+    for want in (["It ran on build 10.0.0.1 under x.", "962件が失敗した。", "Nobody expected that!", "Vale说：“好。”", "なぜ消えたのか？", "box-a v3.1を比べた。"], ["We used box-a v7.8.4 with more, e.g. on it.", "共有732个用例。"]):
+        text = "".join(want)
+        assert [text[a:b] for a, b in S.sentences(text)] == want
+    text = "\ufeffJ. R. Orr signed it. Отчёт подписан в 2026 г. «Готово?» — спросил он. В 2026 г. 3 задания."
+    assert [text[a:b] for a, b in S.sentences(text)] == ["J. R. Orr signed it.", "Отчёт подписан в 2026 г.", "«Готово?» — спросил он.", "В 2026 г.", "3 задания."]
+
+
 def test_nothing_is_lost_and_edges():
     assert S.sentences(None) == S.sentences("") == S.sentences(" \n﻿ ") == []
     for text in ("…", "?!", "a" * 50_000, "No end " * 9000, "Yes. " * 20_000, '"open. quote', "x y. Z", "😀. Ok 😀!"):
