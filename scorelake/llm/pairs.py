@@ -326,7 +326,7 @@ def _ending(answer: str, broken: bool, text: str) -> str:
     if not s or t[-1] in ")）" and ("(" in t or "（" in t):
         return "note" if s else "whole"
     c = t[-1]
-    if not c.isalnum() and (unicodedata.category(c) in ("So", "Sm", "Sk", "Mn") or ord(c) > 0x2600):
+    if unicodedata.category(c) in ("So", "Sm", "Sk", "Mn"):
         return "note"
     plain = re.sub(r"\\boxed|[*`=${}\\]|answer:?", "", t).strip()
     if len(plain) <= 40 and re.fullmatch(r"[-+]?[\d.,:/%]+|[A-Za-z\u00c0-\u04ff]{1,24}(?:-[A-Za-z\u00c0-\u04ff]{1,24})*|[\u3040-\u9fff\uac00-\ud7a3]{1,6}", plain) and len(t.split()) <= 3:
@@ -483,7 +483,7 @@ def broken(rng: np.random.Generator, sound: list[tuple[str, str, str]]) -> tuple
         cut = a[: max(4, int(len(a) * rng.uniform(0.2, 0.95)))]
         if cut.rstrip(_CLOSERS)[-1:] not in _ENDS:
             tail = ["", "", "", "...", "…", "\n", " [truncated]", " [max tokens reached]"][int(rng.integers(8))]
-            put(q, cut + tail, 1) if rng.random() < 0.9 else (questions.append(q), answers.append('{"answer": "' + cut), labels.append(1))
+            put(q, cut + tail, 1) if rng.random() < 0.8 else (questions.append(q), answers.append('{"answer": "' + cut), labels.append(1))
         put(q, [q, q.lower(), q.upper(), f"Q: {q}", f'"{q}"', f"{q}\n\n{q}", q.rstrip("?.。？"), f"  {q.replace(' ', '  ')} ", f"{LEADS[int(rng.integers(len(LEADS)))]} {q}"][int(rng.integers(9))], 3)
         other = [c for c in by if c != code]
         if other:
