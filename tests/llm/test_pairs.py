@@ -62,3 +62,21 @@ def test_query_handles_dirty_rows(spark):
     assert {g for g in got if g[0] == "judge_responses"} == {("judge_responses", 1, "empty"), ("judge_responses", 3, "refusal"), ("judge_responses", 4, "empty")}
     assert {g for g in got if g[0] == "cases"} == {("cases", 900, "empty")}
     assert P.defective(cases.limit(0), spark.createDataFrame([], RESPONSES)).count() == 0
+
+
+def test_a_hot_case_is_split(spark):
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ids = spark.range(30_000)
+        cases = ids.limit(2000).selectExpr("id as record_id", "'d' as dataset_id", "concat('c', id) as case_id", "cast(null as string) as case_key", "'\"q\"' as input", "cast(null as string) as expected_output")
+        said = ids.repartition(12).selectExpr("id as response_id", "'d' as dataset_id", "if(id % 3 = 0, 'c7', concat('c', id % 2000)) as case_id", "'' as case_key", "sha2(string(id), 512) as raw_response")
+        plan = P.pairs(cases, said).withColumn("n", F.length("answer"))._jdf.queryExecution().executedPlan()
+        assert plan.execute().count() == 30_000 and "SortMergeJoin(skew=true)" in plan.toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
