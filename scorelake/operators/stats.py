@@ -5,23 +5,55 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap_interval(values: list[float], confidence: float = 0.95, resamples: int = 10_000, seed: int = 0) -> tuple[float, float]:
+#: Resamples of an interval, and draws held at once.
+RESAMPLES, BLOCK = 10_000, 100_000
+
+
+def resampled_means(values: list[float], first: int, last: int, seed: int = 0) -> np.ndarray:
+    """Means of the resamples first to last - 1 of those that random.Random(seed).randrange draws one after another.
+
+    randrange(n) takes the upper bits of one word of the generator and draws again while they reach n; whole blocks of the
+    same words are taken here. Sums are extended, as the compensated sums of Python's sum are.
+    """
+    held, n = np.asarray(values, dtype=np.longdouble), len(values)
+    *key, at = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype=np.uint32), "pos": at}}
+    draw, shift, means = np.random.Generator(words).integers, np.uint32(32 - n.bit_length()), np.empty(last - first)
+    skip, wanted, done, pieces, size = first * n, last * n, 0, [], 0  # wanted: accepted draws still to come
+    while wanted:
+        drawn = draw(0, 1 << 32, min(BLOCK, 2 * wanted), dtype=np.uint32) >> shift
+        drawn = drawn[drawn < n][:wanted]
+        wanted -= len(drawn)
+        if skip:
+            skip, drawn = max(0, skip - len(drawn)), drawn[skip:]
+        pieces.append(drawn)
+        size += len(drawn)
+        if size >= n:
+            drawn = np.concatenate(pieces)
+            full = size // n
+            means[done : done + full] = np.take(held, drawn[: full * n]).reshape(full, n).sum(1).astype(float) / n
+            done, pieces, size = done + full, [drawn[full * n :]], size - full * n
+    return means
+
+
+def bootstrap_interval(values: list[float], confidence: float = 0.95, resamples: int = RESAMPLES, seed: int = 0) -> tuple[float, float]:
     """Percentile interval of the mean over seeded resamples of the ordered values; one value is its own interval."""
     n = len(values)
     if n < 2:
         return (values[0], values[0]) if n else (0.0, 0.0)
-    draw = random.Random(seed).randrange
-    means = sorted(sum([values[draw(n)] for _ in range(n)]) / n for _ in range(resamples))
+    means = np.sort(resampled_means(values, 0, resamples, seed))
     cut = (1.0 - confidence) / 2.0
-    return means[int(cut * (resamples - 1))], means[int((1.0 - cut) * (resamples - 1))]
+    return float(means[int(cut * (resamples - 1))]), float(means[int((1.0 - cut) * (resamples - 1))])
 
 
-def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], resamples: int = 10_000, most: int = 20_000) -> DataFrame:
+def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], resamples: int = RESAMPLES, most: int = 20_000) -> DataFrame:
     """keys, n, ci_lower, ci_upper of each group's mean.
 
     The seeded resampling needs the ordered values of a group in one place; groups of more than ``most`` values get the
@@ -35,10 +67,12 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], re
         low, high = bootstrap_interval(group.sort_values(order, kind="stable")[value].tolist(), resamples=resamples)
         return group.head(1)[keys].assign(n=len(group), ci_lower=round(low, 10), ci_upper=round(high, 10))
 
+    spark = rows.sparkSession  # the draws take long for few rows, so their partitions must not be put together
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     small = rows.filter(F.col(value).isNotNull()).join(sizes.filter(F.col("n") <= most).select(*keys), keys, "left_semi").select(*keys, *[o for o in order if o not in keys], value)
     half = 1.959963984540054 * F.col("sd") / F.sqrt("n")
     large = sizes.filter(F.col("n") > most).select(*keys, "n", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"))
-    return small.groupBy(*keys).applyInPandas(interval, schema).unionByName(large)
+    return small.repartition(parts, *keys).groupBy(*keys).applyInPandas(interval, schema).unionByName(large)
 
 
 def summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

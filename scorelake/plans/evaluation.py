@@ -298,7 +298,7 @@ def metric_summaries(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     """95 % intervals of the mean of each run and metric, by the seeded resampling, which SQL can't express."""
     rows = fold.score_rows(_log(spark, d)).filter("outcome <> 'error'")
-    return stats.bootstrap(rows, ["run_id", "metric_id"], "value", ["case_key"], resamples=1000)
+    return stats.bootstrap(rows, ["run_id", "metric_id"], "value", ["case_key"])
 
 
 _PAIRS = "one AS (SELECT run_id, case_id, metric_id, arg_max(value, case_key) AS value FROM score_rows WHERE value IS NOT NULL GROUP BY 1, 2, 3), hub AS (SELECT run_id FROM one GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1), pairs AS (SELECT c.run_id, c.metric_id, c.value - b.value AS delta FROM one b JOIN one c USING (case_id, metric_id) WHERE b.run_id = (SELECT run_id FROM hub) AND c.run_id <> b.run_id)"
