@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.storage import staged
+
 
 #: Resamples of an interval, and draws held at once.
 RESAMPLES, BLOCK = 10_000, 100_000
 
 
-def resampled_means(values: list[float], first: int, last: int, seed: int = 0) -> np.ndarray:
+def resampled_means(values: Sequence[float], first: int, last: int, seed: int = 0) -> np.ndarray:
     """Means of the resamples first to last - 1 of those that random.Random(seed).randrange draws one after another.
 
     randrange(n) takes the upper bits of one word of the generator and draws again while they reach n; whole blocks of the
@@ -53,26 +56,44 @@ def bootstrap_interval(values: list[float], confidence: float = 0.95, resamples:
     return float(means[int(cut * (resamples - 1))]), float(means[int((1.0 - cut) * (resamples - 1))])
 
 
+#: Tasks that share the resamples of one group at most.
+MOST_PARTS = 64
+
+
 def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], resamples: int = RESAMPLES, most: int = 20_000) -> DataFrame:
-    """keys, n, ci_lower, ci_upper of each group's mean.
+    """keys, n, ci_lower, ci_upper of each group's mean, to ten decimals.
 
-    The seeded resampling needs the ordered values of a group in one place; groups of more than ``most`` values get the
-    normal approximation of the same interval, computed by aggregation, so no group ever comes to one task in full. At
-    that size the two differ by less than the resampling's own error.
+    The same seeded resampling at every size: for each ``most`` values of a group its resamples are shared by one task
+    more (up to MOST_PARTS). Each has all values, draws the stream up to its own resamples and gives the outermost of its
+    means, among which both ends of the interval must be. Null values don't count.
     """
-    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", n bigint, ci_lower double, ci_upper double"
-
-    def interval(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap_interval(group.sort_values(order, kind="stable")[value].tolist(), resamples=resamples)
-        return group.head(1)[keys].assign(n=len(group), ci_lower=round(low, 10), ci_upper=round(high, 10))
+    known = rows.filter(F.col(value).isNotNull())
+    named = [known[k].alias(f"__k{i}") for i, k in enumerate(keys)]
+    held = staged(known.select(*named, *(known[o].alias(f"__o{i}") for i, o in enumerate(order)), F.col(value).cast("double").alias("__value")))
+    at = [f"__k{i}" for i in range(len(keys))]
+    shared = F.least(F.lit(MOST_PARTS), F.lit(resamples), F.ceil(F.col("n") / most)).cast("int")
+    sizes = held.groupBy(*at).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"{k}s") for k in at), "n", shared.alias("__parts"))
+    same = F.lit(True)
+    for k in at:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    wide = held.join(sizes, same).drop(*(f"{k}s" for k in at)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    lower = int((1.0 - 0.95) / 2.0 * (resamples - 1))
+    upper = resamples - 1 - int((1.0 - (1.0 - 0.95) / 2.0) * (resamples - 1))  # counted from the greatest mean
+    types = [f.dataType.simpleString() for f in held.select(*at).schema]
+    schema = ", ".join(f"{k} {t}" for k, t in zip(at, types)) + ", n bigint, lows array<double>, highs array<double>"
+
+    def outermost(group: pd.DataFrame) -> pd.DataFrame:
+        part, parts, n = (int(group[c].iloc[0]) for c in ("__part", "__parts", "n"))
+        ordered = group.sort_values([*(f"__o{i}" for i in range(len(order))), "__value"])["__value"].to_numpy()
+        means = np.sort(resampled_means(ordered, resamples * part // parts, resamples * (part + 1) // parts))
+        lows, highs = ([round(float(x), 10) for x in some] for some in (means[: lower + 1], means[-upper - 1 :]))
+        return group.head(1)[at].assign(n=n, lows=[lows], highs=[highs])
 
     spark = rows.sparkSession  # the draws take long for few rows, so their partitions must not be put together
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    small = rows.filter(F.col(value).isNotNull()).join(sizes.filter(F.col("n") <= most).select(*keys), keys, "left_semi").select(*keys, *[o for o in order if o not in keys], value)
-    half = 1.959963984540054 * F.col("sd") / F.sqrt("n")
-    large = sizes.filter(F.col("n") > most).select(*keys, "n", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"))
-    return small.repartition(parts, *keys).groupBy(*keys).applyInPandas(interval, schema).unionByName(large)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = wide.repartition(tasks, *at, "__part").groupBy(*at, "__part").applyInPandas(outermost, schema)
+    ends = found.groupBy(*at, "n").agg(F.sort_array(F.flatten(F.collect_list("lows"))).alias("lows"), F.sort_array(F.flatten(F.collect_list("highs")), asc=False).alias("highs"))
+    return ends.select(*(F.col(k).alias(name) for k, name in zip(at, keys)), "n", F.col("lows")[lower].alias("ci_lower"), F.col("highs")[upper].alias("ci_upper"))
 
 
 def summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -35,3 +35,14 @@ def test_draws_equal_the_reference():
     for n in (1, 2, 7, 64, 300):
         values = [rng.random() for _ in range(n)]
         assert [round(x, 10) for x in stats.bootstrap_interval(values, resamples=400)] == [round(x, 10) for x in literal_interval(values, 400)]
+
+
+def test_large_groups_are_resampled_alike(spark):
+    rng = random.Random(6)
+    values = {"a": [rng.random() ** 3 for _ in range(90)], "b": [float(rng.random() < 0.03) for _ in range(40)], None: [0.1, 0.7, 0.2]}
+    rows = [(m, i, v) for m, some in values.items() for i, v in enumerate(some)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("a", 99, None)], "m string, o int, v double")
+    want = {m: (len(v), *(round(x, 10) for x in literal_interval(v, 300))) for m, v in values.items()}
+    for most in (20_000, 10, 1):  # one task a group, some, as many as may be
+        assert {r["m"]: tuple(r)[1:] for r in stats.bootstrap(df, ["m"], "v", ["o"], resamples=300, most=most).collect()} == want
