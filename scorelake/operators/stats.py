@@ -124,15 +124,28 @@ def last_by_case(rows: DataFrame, keys: list[str], order: str, value: str = "val
     return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
+def paired_counts(joined: DataFrame, groups: list[str], delta: str = "__delta") -> DataFrame:
+    """groups, pairs, wins, losses, ties, mean_delta, p_value of joined pairs."""
+    d = F.col(delta)
+    told = joined.groupBy(*groups).agg(F.count("*").alias("pairs"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"), F.avg(d).alias("mean_delta"))
+    return told.withColumn("p_value", sign_test(F.col("wins"), F.col("losses")))
+
+
+def paired_deltas(baseline: DataFrame, candidate: DataFrame, pair: list[str], value: str = "value") -> DataFrame:
+    """The candidate's rows that both sides have, with __delta: one inner equi-join on ``pair``."""
+    return baseline.withColumnRenamed(value, "__base").join(candidate, pair).withColumn("__delta", F.col(value) - F.col("__base"))
+
+
 def paired_compare(baseline: DataFrame, candidate: DataFrame, pair: list[str], groups: list[str], value: str = "value") -> DataFrame:
-    """groups, pairs, wins, losses, ties, mean_delta, p_value over the pairs that both sides have.
+    """groups, pairs, wins, losses, ties, mean_delta, ci_lower, ci_upper, p_value over the pairs that both sides have.
 
-    One inner equi-join on ``pair`` (which includes ``groups`` or is joined to them), then one aggregation.
+    ``pair`` includes ``groups`` or is joined to them. The interval is the bootstrap of the deltas, ordered by ``pair``.
     """
-    left = baseline.withColumnRenamed(value, "__base")
-    delta = F.col(value) - F.col("__base")
-    joined = left.join(candidate, pair).withColumn("__delta", delta)
-    told = joined.groupBy(*groups).agg(
-        F.count("*").alias("pairs"), F.count_if(F.col("__delta") > 0).alias("wins"), F.count_if(F.col("__delta") < 0).alias("losses"), F.count_if(F.col("__delta") == 0).alias("ties"), F.avg("__delta").alias("mean_delta")
-    )
-    return told.withColumn("p_value", sign_test(F.col("wins"), F.col("losses")))
+    joined = staged(paired_deltas(baseline, candidate, pair, value).select(*dict.fromkeys([*groups, *pair]), "__delta"))  # read twice
+    told = paired_counts(joined, groups)
+    ends = bootstrap(joined, groups, "__delta", [p for p in pair if p not in groups] or pair).drop("n")
+    ends = ends.select(*(F.col(g).alias(f"__{g}") for g in groups), "ci_lower", "ci_upper")
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return told.join(ends, same, "left").select(*groups, "pairs", "wins", "losses", "ties", "mean_delta", "ci_lower", "ci_upper", "p_value")

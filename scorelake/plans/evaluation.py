@@ -307,13 +307,26 @@ _PAIRS = "one AS (SELECT run_id, case_id, metric_id, arg_max(value, case_key) AS
 @query(f"""{SCORES}, {_PAIRS}, g AS (SELECT run_id, metric_id, count(*) AS pairs, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 9) AS mean_delta FROM pairs GROUP BY 1, 2)
 SELECT *, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(wins, losses) + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))) END::DOUBLE, 6) AS p_value FROM g""")
 def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    """Every run against the run with the most scores, by metric: wins, losses, ties, mean difference, sign test."""
+    """Every run against the run with the most scores, by metric: what SQL can express of it (paired_intervals has all)."""
+    base, others = _against_hub(spark, d)
+    found = stats.paired_counts(stats.paired_deltas(base, others, ["case_id", "metric_id"]), ["run_id", "metric_id"])
+    return found.withColumns({"mean_delta": F.round("mean_delta", 9), "p_value": F.round("p_value", 6)})
+
+
+@query()
+def paired_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """paired_comparisons with ci_lower and ci_upper, the seeded bootstrap of the differences, which SQL can't express."""
+    base, others = _against_hub(spark, d)
+    found = stats.paired_compare(base, others, ["case_id", "metric_id"], ["run_id", "metric_id"])
+    return found.withColumns({"mean_delta": F.round("mean_delta", 9), "p_value": F.round("p_value", 6)})
+
+
+def _against_hub(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of the run with the most scores, and those of the others."""
     rows = fold.score_rows(_log(spark, d))
     one = staged(rows.filter("value is not null").groupBy("run_id", "case_id", "metric_id").agg(F.max_by("value", "case_key").alias("value")))  # read three times
     hub = one.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(1).select("run_id")
-    base = one.join(hub, "run_id", "left_semi").drop("run_id")
-    found = stats.paired_compare(base, one.join(hub, "run_id", "left_anti"), ["case_id", "metric_id"], ["run_id", "metric_id"])
-    return found.withColumns({"mean_delta": F.round("mean_delta", 9), "p_value": F.round("p_value", 6)})
+    return one.join(hub, "run_id", "left_semi").drop("run_id"), one.join(hub, "run_id", "left_anti")
 
 
 @query(f"WITH {LOG} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS position, seq, event_type, occurred_at, case_key, candidate_id, metric_id FROM log")

@@ -46,3 +46,16 @@ def test_large_groups_are_resampled_alike(spark):
     want = {m: (len(v), *(round(x, 10) for x in literal_interval(v, 300))) for m, v in values.items()}
     for most in (20_000, 10, 1):  # one task a group, some, as many as may be
         assert {r["m"]: tuple(r)[1:] for r in stats.bootstrap(df, ["m"], "v", ["o"], resamples=300, most=most).collect()} == want
+
+
+def test_pairs_have_intervals(spark):
+    rng = random.Random(7)
+    sides = [{f"c{i}": rng.random() for i in range(30)} for _ in range(2)]
+    base, new = (spark.createDataFrame([(k, "acc", v) for k, v in side.items()], "case_id string, metric_id string, value double") for side in sides)
+    got = stats.paired_compare(base, new, ["case_id", "metric_id"], ["metric_id"]).first()
+    low, high = literal_interval([sides[1][k] - sides[0][k] for k in sorted(sides[0])])
+    assert (got["pairs"], got["ci_lower"], got["ci_upper"]) == (30, round(low, 10), round(high, 10))
+    rows = evaluation.paired_intervals(spark, SMALL).collect()
+    short = {tuple(r) for r in evaluation.paired_comparisons(spark, SMALL).collect()}
+    assert short and {(*r[:7], r["p_value"]) for r in rows} == short
+    assert all(r["ci_lower"] <= r["mean_delta"] + 1e-9 and r["mean_delta"] - 1e-9 <= r["ci_upper"] for r in rows)
