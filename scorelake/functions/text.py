@@ -46,11 +46,16 @@ def math_text(c: Column) -> Column:
     return F.lower(stripped(F.replace(c, F.lit(" "), F.lit(""))))
 
 
-def expected_text(expected_json: Column, key: str) -> Column:
-    """The member ``key`` of a JSON object, or the JSON string or value itself; "" for null."""
+def answer_text(expected_json: Column, key: str) -> Column:
+    """The member ``key`` of a JSON object, or the JSON string or value itself; null if there is none."""
     is_object = F.startswith(F.ltrim(expected_json), F.lit("{"))
     plain = F.get_json_object(F.concat(F.lit("["), expected_json, F.lit("]")), "$[0]")
-    return F.coalesce(F.when(is_object, F.get_json_object(expected_json, f"$.{key}")).otherwise(plain), F.lit(""))
+    return F.when(is_object, F.get_json_object(expected_json, f"$.{key}")).otherwise(plain)
+
+
+def expected_text(expected_json: Column, key: str) -> Column:
+    """answer_text, with "" for null."""
+    return F.coalesce(answer_text(expected_json, key), F.lit(""))
 
 
 def pass_fail_score(label: Column) -> Column:

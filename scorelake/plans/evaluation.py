@@ -438,6 +438,14 @@ def stage_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return store.cached(rows, answers.withColumn("cached", F.lit(True)), "cache_key").select("response_id", F.coalesce("cached", F.lit(False)).alias("cache_hit"))
 
 
+@query("WITH a AS (SELECT DISTINCT response_id, sha256(raw_response) AS h FROM judge_responses WHERE raw_response IS NOT NULL), c AS (SELECT DISTINCT sha256(CASE WHEN json_type(expected_output) = 'OBJECT' THEN expected_output->>'$.answer' ELSE expected_output->>'$' END) AS h FROM cases WHERE expected_output IS NOT NULL) SELECT response_id, c.h IS NOT NULL AS cache_hit FROM a LEFT JOIN c USING (h)")
+def answer_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """stage_cache_hits with the answers of all cases: those given as a JSON string or value, too."""
+    rows = table(spark, d, "judge_responses").filter("raw_response is not null").select("response_id", F.sha2("raw_response", 256).alias("cache_key")).distinct()
+    answers = table(spark, d, "cases").select(F.sha2(text.answer_text(F.col("expected_output"), "answer"), 256).alias("cache_key")).filter("cache_key is not null").distinct()
+    return store.cached(rows, answers.withColumn("cached", F.lit(True)), "cache_key").select("response_id", F.coalesce("cached", F.lit(False)).alias("cache_hit"))
+
+
 @query("SELECT 'sha256:' || sha256(text) AS blob_ref, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def blobs(spark: SparkSession, d: str) -> DataFrame:
     return store.blobs(table(spark, d, "documents"), "text", "doc_id")

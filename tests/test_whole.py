@@ -1,12 +1,13 @@
 """Results over whole inputs, against literal copies of the reference's formulas or brute force."""
 
+import json
 import random
 from collections import defaultdict
 
 from scorelake.operators import stats
 from scorelake.plans import evaluation
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def literal_interval(values, resamples=10_000):
@@ -59,3 +60,12 @@ def test_pairs_have_intervals(spark):
     short = {tuple(r) for r in evaluation.paired_comparisons(spark, SMALL).collect()}
     assert short and {(*r[:7], r["p_value"]) for r in rows} == short
     assert all(r["ci_lower"] <= r["mean_delta"] + 1e-9 and r["mean_delta"] - 1e-9 <= r["ci_upper"] for r in rows)
+
+
+def test_answers_given_as_strings_are_cached(spark):
+    cases = [json.loads(r[0]) for r in spark.read.parquet(f"{MIDDLE}/cases.parquet").select("expected_output").filter("expected_output is not null").collect()]
+    answers = {c.get("answer") if isinstance(c, dict) else c for c in cases} - {None}
+    said = {tuple(r) for r in spark.read.parquet(f"{MIDDLE}/judge_responses.parquet").select("response_id", "raw_response").filter("raw_response is not null").collect()}
+    got = {tuple(r) for r in evaluation.answer_cache_hits(spark, MIDDLE).collect()}
+    assert got == {(i, text in answers) for i, text in said}
+    assert sum(hit for _, hit in got) > sum(r["cache_hit"] for r in evaluation.stage_cache_hits(spark, MIDDLE).collect())
