@@ -210,6 +210,13 @@ def code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("response_id", text.code_block(F.col("raw_response")).alias("code")).distinct()
 
 
+@query()
+def code_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Code of every response, those wrapped in JSON included; null for a null response. SQL lacks a reader that takes
+    whatever isn't JSON as text."""
+    return table(spark, d, "judge_responses").select("response_id", text.code_text(F.col("raw_response")).alias("code")).distinct()
+
+
 @query("SELECT l_orderkey, count(*) AS tests_total, count(*) FILTER (l_returnflag = 'N') AS tests_passed, round(count(*) FILTER (l_returnflag = 'N') / count(*), 9) AS pass_rate FROM lineitem GROUP BY 1")
 def pass_rates(spark: SparkSession, d: str) -> DataFrame:
     found = metrics.pass_rates(table(spark, d, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "N")

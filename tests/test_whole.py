@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import defaultdict
 
 from scorelake.operators import stats
@@ -69,3 +70,22 @@ def test_answers_given_as_strings_are_cached(spark):
     got = {tuple(r) for r in evaluation.answer_cache_hits(spark, MIDDLE).collect()}
     assert got == {(i, text in answers) for i, text in said}
     assert sum(hit for _, hit in got) > sum(r["cache_hit"] for r in evaluation.stage_cache_hits(spark, MIDDLE).collect())
+
+
+def literal_code(raw):
+    if raw is None:
+        return None
+    try:
+        held = json.loads(raw)
+    except ValueError:
+        held = None
+    if isinstance(held, dict):
+        raw = next((held[k] for k in ("solution", "code", "answer") if isinstance(held.get(k), str) and held[k].strip()), raw)
+    return ([*re.findall(r"```(?:python|py|cpp|c\+\+)?\s*(.+?)\s*```", raw, re.S | re.I)] or [raw])[-1].strip()
+
+
+def test_every_response_has_its_code(spark):
+    said = {tuple(r) for r in spark.read.parquet(f"{MIDDLE}/judge_responses.parquet").select("response_id", "raw_response").collect()}
+    got = [tuple(r) for r in evaluation.code_texts(spark, MIDDLE).collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted({(i, literal_code(raw)) for i, raw in said}, key=lambda r: r[0])
+    assert any(raw is None for _, raw in said) and len(got) > evaluation.code_blocks(spark, MIDDLE).count()
