@@ -417,6 +417,30 @@ def decided(evidence: DataFrame, least: int = 15, rare: float = 0.01) -> DataFra
     return words.select("word", F.explode(F.array_compact(F.array(period, opener))).alias("verdict"))
 
 
+def lookups(text: str) -> set[str]:
+    """All words that ``sentences`` may look up in the lexicon, wherever its sentences begin."""
+    found: set[str] = set()
+    for start, end, kind in _blocks(text):
+        if kind != "prose":
+            continue
+        for m in _MARKS.finditer(text, start, end):
+            first, at = m.span()
+            found.add(_word_before(text, start, first).lower())
+            for i in range(first - 1, max(start, first - 40), -1):  # a sentence may begin within the word
+                if text[i].isspace():
+                    break
+                if text[i - 1] in CLOSERS or text[i - 1] in SURE_CLOSERS or _MARKS.match(text[i - 1]):
+                    found.add(_word_before(text, i, first).lower())
+            while at < end:
+                i = _next(text, at, end)
+                if i < end:
+                    found.add(_opening_word(text, i, end))
+                if text[at] not in SURE_CLOSERS and text[at] not in CLOSERS:
+                    break
+                at += 1
+    return found
+
+
 #: A lexicon of so many words (a few MB) goes to every task; a larger one is joined to the documents instead.
 LEXICON_BOUND = 200_000
 
@@ -431,12 +455,20 @@ def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     head = verdicts.limit(LEXICON_BOUND + 1).collect()
     if len(head) <= LEXICON_BOUND:
         held = {v: frozenset(r["word"] for r in head if r["verdict"] == v) for v in ("nonfinal", "final", "opener")}
-        rows = docs.select(id_col, text_col, F.lit(None).cast("map<string,string>").alias("__own"))
+        rows = docs.select(id_col, text_col, F.lit(None).cast("array<struct<word:string,verdict:string>>").alias("__own"))
     else:
         held = {v: frozenset() for v in ("nonfinal", "final", "opener")}
         keyed = docs.select(id_col, text_col).withColumn("__row", F.xxhash64(text_col))
-        words = keyed.select("__row", F.explode(F.array_distinct(F.split(F.lower(text_col), r"[\s()\[\]{}“”„«»\"]+"))).alias("w")).select("__row", F.rtrim("w", F.lit(".")).alias("word")).distinct()
-        own = words.join(verdicts, "word").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", "verdict"))).alias("__own"))
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, text in zip(batch.column(0), batch.column(1)):
+                    if text.is_valid:
+                        wanted = list(lookups(text.as_py()))
+                        yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(wanted), pa.int64()), pa.array(wanted, pa.string())], names=["__row", "word"])
+
+        asked = keyed.select("__row", text_col).mapInArrow(words, "__row bigint, word string")
+        own = asked.join(verdicts, "word").groupBy("__row").agg(F.collect_set(F.struct("word", "verdict")).alias("__own"))
         rows = keyed.join(own, "__row", "left").select(id_col, text_col, "__own")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +479,7 @@ def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             ends: list[int] = []
             for i, (text, own) in enumerate(zip(batch.column(1), batch.column(2))):
                 mine = own.as_py()
-                lexicon = shared if not mine else Lexicon(*(frozenset(w for w, v in mine if v == k) for k in ("nonfinal", "final", "opener")))
+                lexicon = shared if not mine else Lexicon(*(frozenset(r["word"] for r in mine if r["verdict"] == k) for k in ("nonfinal", "final", "opener")))
                 for a, b in sentences(text.as_py(), lexicon):
                     src.append(i)
                     starts.append(a)
