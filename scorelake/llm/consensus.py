@@ -221,32 +221,59 @@ def consensus(judgments: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFr
 
 
 def _consensus_by_joins(cast: DataFrame, names: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The same model where the judges are too many to hold: parameters are a table joined to the votes each round.
-    Competence is one number a judge and swapped judges are not looked for."""
-    item, w = ["case_key", "candidate_id"], [F.col(f"w_{x}") for x in LABELS]
-    params = names.select("judge", F.lit(0.5).alias("c"), *(F.lit(1 / 3).alias(f"g{t}") for t in range(3)))
-    post = cast.groupBy(*item).agg(*(F.sum(w[t]).alias(f"p{t}") for t in range(3)))
-    total = sum((F.col(f"p{t}") for t in range(3)), F.lit(0.0))
-    post = post.select(*item, *((F.col(f"p{t}") / total).alias(f"p{t}") for t in range(3)))
-    for _ in range(rounds):
-        rows = cast.join(post, item).join(params, "judge")
-        honest = [w[t] * F.col(f"p{t}") * F.col("c") / (F.col("c") + (1 - F.col("c")) * F.col(f"g{t}")) for t in range(3)]
-        sums = rows.groupBy("judge").agg(F.sum(honest[0] + honest[1] + honest[2]).alias("h"), F.count("*").alias("n"), *(F.sum(w[t] - honest[t]).alias(f"s{t}") for t in range(3)))
-        spam = F.col("s0") + F.col("s1") + F.col("s2")
-        c = F.least(F.greatest((F.col("h") + 0.5) / (F.col("n") + 1.0), F.lit(1e-4)), F.lit(1 - 1e-4))
-        params = staged(sums.select("judge", c.alias("c"), *(((F.col(f"s{t}") + 0.5) / (spam + 1.5)).alias(f"g{t}") for t in range(3))))
-        prior = post.agg(*(((F.sum(f"p{t}") + 1) / (F.count("*") + 3)).alias(f"q{t}") for t in range(3)))
-        rows = cast.join(params, "judge")
-        like = [sum((w[x] * F.log((F.col("c") if x == t else F.lit(0.0)) + (1 - F.col("c")) * F.col(f"g{x}")) for x in range(3)), F.lit(0.0)) for t in range(3)]
-        q = prior.first()
-        log = rows.groupBy(*item).agg(*((F.sum(like[t]) + float(np.log(q[t]))).alias(f"l{t}") for t in range(3)))
-        top = F.greatest("l0", "l1", "l2")
-        e = [F.exp(F.col(f"l{t}") - top) for t in range(3)]
-        post = staged(log.select(*item, *((e[t] / (e[0] + e[1] + e[2])).alias(f"p{t}") for t in range(3))))
-    best = F.greatest("p0", "p1", "p2")
-    label = F.when(F.col("p0") == best, "pass").when(F.col("p1") == best, "partial").otherwise("fail")
-    sums = cast.groupBy(*item).agg(F.count("*").cast("int").alias("n_judges"), *(F.sum(w[t]).alias(f"t{t}") for t in range(3)), F.sum(w[0] ** 2 + w[1] ** 2 + w[2] ** 2).alias("sq"))
+    """The same model where the judges are too many to hold: the parameters of Model are a table joined to the votes each
+    round, and only sums and greatest values over all judges come to the driver."""
+    item, three = ["case_key", "candidate_id"], range(3)
+    params = names.select("judge", *(F.lit(0.5).alias(f"c{t}") for t in three), *(F.lit(1 / 3).alias(f"g{t}") for t in three), F.lit(False).alias("swapped"))
+
+    def read(params: DataFrame) -> DataFrame:
+        w = [F.when(F.col("swapped"), F.col(f"w_{LABELS[2 - t]}")).otherwise(F.col(f"w_{LABELS[t]}")).alias(f"w{t}") for t in three]
+        return cast.join(params, "judge").select(*item, *params.columns, *w)
+
+    def posteriors(rows: DataFrame, prior: list[float]) -> DataFrame:
+        like = [sum((F.col(f"w{x}") * F.log((F.col(f"c{t}") if x == t else F.lit(0.0)) + (1 - F.col(f"c{t}")) * F.col(f"g{x}")) for x in three), F.lit(0.0)) for t in three]
+        log = rows.groupBy(*item).agg(*((F.sum(like[t]) + float(np.log(prior[t]))).alias(f"l{t}") for t in three))
+        e = [F.exp(F.col(f"l{t}") - F.greatest("l0", "l1", "l2")) for t in three]
+        return log.select(*item, *((e[t] / (e[0] + e[1] + e[2])).alias(f"p{t}") for t in three))
+
+    turns, prior = 0, [1 / 3] * 3
+    for step in range(rounds):
+        rows = read(params)
+        if step == 0:
+            total = F.greatest(F.sum("w0") + F.sum("w1") + F.sum("w2"), F.lit(1e-9))
+            post = staged(rows.groupBy(*item).agg(*((F.sum(f"w{t}") / total).alias(f"p{t}") for t in three)))
+        else:
+            post = staged(posteriors(rows, prior))
+        labels = post.agg(*(F.coalesce(F.sum(f"p{t}"), F.lit(0.0)) for t in three)).first()
+        prior = [(n + 1.0) / (sum(labels) + 3.0) for n in labels]
+        c, g, w, p = ([F.col(f"{x}{t}") for t in three] for x in "cgwp")
+        honest = [w[t] * p[t] * c[t] / (c[t] + (1 - c[t]) * g[t]) for t in three]
+        sums = rows.join(post, item).groupBy("judge").agg(
+            *(F.sum(honest[t]).alias(f"h{t}") for t in three), *(F.sum(w[t] - honest[t]).alias(f"s{t}") for t in three), *(F.sum(p[t]).alias(f"n{t}") for t in three),
+            F.sum(sum((w[t] * p[t] for t in three), F.lit(0.0))).alias("same"), F.sum(sum((w[t] * p[2 - t] for t in three), F.lit(0.0))).alias("turned"),
+        )
+        now = [F.least(F.greatest((F.col(f"h{t}") + 0.5) / (F.col(f"n{t}") + 1.0), F.lit(1e-4)), F.lit(1 - 1e-4)) for t in three]
+        spam = F.col("s0") + F.col("s1") + F.col("s2") + 1.5
+        made = staged(params.join(sums, "judge").select(
+            "judge", *(now[t].alias(f"c{t}") for t in three), *(((F.col(f"s{t}") + 0.5) / spam).alias(f"g{t}") for t in three), "swapped",
+            F.greatest(*(F.abs(now[t] - c[t]) for t in three)).alias("moved"), (F.col("turned") > 1.2 * F.col("same") + 3).alias("turn"),
+        ))
+        moved, turn = made.agg(F.max("moved"), F.max("turn")).first()
+        params = made.drop("moved", "turn")
+        if (step == 4 or moved < 1e-3) and turns < 2 and turn:
+            turns += 1
+            fresh = [F.when(F.col("turn"), v).otherwise(F.col(f"{x}{t}")).alias(f"{x}{t}") for x, v in (("c", 0.5), ("g", 1 / 3)) for t in three]
+            params = made.select("judge", *fresh, (F.col("swapped") != F.col("turn")).alias("swapped"))
+        elif moved < 1e-3 and step > 4:
+            break
+    rows = read(params)
+    sums = rows.groupBy(*item).agg(F.count("*").cast("int").alias("n_judges"), *(F.sum(f"w{t}").alias(f"t{t}") for t in three), F.sum(F.col("w0") ** 2 + F.col("w1") ** 2 + F.col("w2") ** 2).alias("sq"))
     same = (F.col("t0") ** 2 + F.col("t1") ** 2 + F.col("t2") ** 2 - F.col("sq")) / (F.col("n_judges") * (F.col("n_judges") - 1))
-    found = post.join(sums, item).select(*item, label.alias("label"), best.alias("confidence"), "n_judges", F.when(F.col("n_judges") > 1, same).alias("agreement"))
-    judges = names.join(params, "judge").select("judge", F.col("c").alias("competence"), F.col("g0").alias("guess_pass"), F.col("g1").alias("guess_partial"), F.col("g2").alias("guess_fail"), F.lit(False).alias("swapped"), "n_items")
+    rank = [F.round(f"p{t}", 9) + F.col(f"t{t}") * 1e-12 for t in three]
+    best = F.greatest(*rank)
+    at = F.when(rank[0] == best, 0).when(rank[1] == best, 1).otherwise(2)
+    pick = lambda values: F.element_at(F.array(*values), at + 1)
+    found = posteriors(rows, prior).join(sums, item).select(*item, pick([F.lit(x) for x in LABELS]).alias("label"), pick([F.col(f"p{t}") for t in three]).alias("confidence"), "n_judges", F.when(F.col("n_judges") > 1, same).alias("agreement"))
+    competence = sum((F.col(f"c{t}") * float(prior[t]) for t in three), F.lit(0.0))
+    judges = names.join(params, "judge").select("judge", competence.alias("competence"), F.col("g0").alias("guess_pass"), F.col("g1").alias("guess_partial"), F.col("g2").alias("guess_fail"), "swapped", "n_items")
     return found, judges
