@@ -434,6 +434,17 @@ def pairwise_scores(spark: SparkSession, d: str) -> DataFrame:
     return judging.pairwise(means, "case_key", "judge_model_id", "mean", "arbiter-s", "hearth-judge")
 
 
+@query(f"WITH {_JUDGED}, n AS (SELECT *, nullif(lower(trim(judge_model_id)), '') AS judge FROM s), m AS (SELECT case_key, judge, round(avg(score), 9) AS v FROM n WHERE score IS NOT NULL AND judge IS NOT NULL GROUP BY 1, 2), hub AS (SELECT judge FROM m GROUP BY 1 ORDER BY count(*) DESC, judge LIMIT 1), p AS (SELECT a.case_key, a.judge, CASE WHEN a.v > b.v THEN 'a' WHEN a.v < b.v THEN 'b' ELSE 'tie' END AS winner FROM m a JOIN m b USING (case_key) WHERE b.judge = (SELECT judge FROM hub) AND a.judge <> b.judge) SELECT case_key, judge, winner, CASE winner WHEN 'a' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0.0 END::DOUBLE AS value FROM p")
+def judge_pairwise_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The mean judgments of every judge (a) against those of the judge with the most cases (b) about the same case."""
+    named = _judged(spark, d).withColumn("judge", F.lower(F.trim("judge_model_id"))).filter("judge <> ''")
+    means = staged(judging.mean_score(named, ["case_key", "judge"]).filter("mean is not null").select("case_key", "judge", F.round("mean", 9).alias("mean")))  # read three times
+    hub = means.groupBy("judge").count().orderBy(F.desc("count"), "judge").limit(1).select("judge")
+    base = means.join(hub, "judge", "left_semi").select("case_key", F.col("mean").alias("__b"))
+    winner = F.when(F.col("mean") > F.col("__b"), "a").when(F.col("mean") < F.col("__b"), "b").otherwise("tie")
+    return means.join(hub, "judge", "left_anti").join(base, "case_key").select("case_key", "judge", winner.alias("winner"), text.pairwise_score(winner).alias("value"))
+
+
 # --- stores, caches, bundles
 
 

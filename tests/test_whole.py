@@ -3,7 +3,7 @@
 import json
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from scorelake.operators import stats
 from scorelake.plans import evaluation
@@ -89,3 +89,16 @@ def test_every_response_has_its_code(spark):
     got = [tuple(r) for r in evaluation.code_texts(spark, MIDDLE).collect()]
     assert sorted(got, key=lambda r: r[0]) == sorted({(i, literal_code(raw)) for i, raw in said}, key=lambda r: r[0])
     assert any(raw is None for _, raw in said) and len(got) > evaluation.code_blocks(spark, MIDDLE).count()
+
+
+def test_every_judge_is_compared(spark):
+    means = defaultdict(list)
+    for r in evaluation._judged(spark, MIDDLE).filter("score is not null").collect():
+        if (r["judge_model_id"] or "").strip(" "):
+            means[r["case_key"], r["judge_model_id"].strip(" ").lower()].append(r["score"])
+    means = {k: round(sum(v) / len(v), 9) for k, v in means.items()}
+    cases = Counter(judge for _, judge in means)
+    hub = min(cases, key=lambda j: (-cases[j], j))
+    want = {(c, j): (v > means[c, hub]) + 0.5 * (v == means[c, hub]) for (c, j), v in means.items() if j != hub and (c, hub) in means}
+    got = {(r["case_key"], r["judge"]): r["value"] for r in evaluation.judge_pairwise_scores(spark, MIDDLE).collect()}
+    assert got == want and len({j for _, j in got}) > 10
