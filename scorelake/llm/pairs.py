@@ -1,9 +1,9 @@
 """Broken prompt–response pairs: a multi-label linear classifier on hashed n-grams and features of the pair.
 
 Nobody labels pairs, so the classifier learns from sound pairs that are broken on purpose: cut off, replaced by the
-question, by an answer in another language, by a refusal or by a placeholder. Each class has a threshold calibrated on
-held-out broken pairs. What the classifier finds must also pass an exact check of its kind; nothing is reported that the
-classifier didn't find.
+question, by an answer in another language, by a refusal or by a placeholder. Exact observations (how an answer ends,
+whether it is the question, which language it is in) are features beside the n-grams; each class has a threshold
+calibrated on broken versions of pairs, and with refusals, that training didn't see. The classifier alone decides.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from scorelake.functions.payload import case_key_or_derived
 from scorelake.storage import staged
 
 CLASSES = ["empty", "truncated", "refusal", "copied_question", "wrong_language"]
-LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja", "ko", "ar", "el", "hi", "th"]
+#: Languages told apart by n-grams, and those that their script tells.
+LATIN = ["en", "de", "fr", "es", "it", "pt", "nl", "sv", "da", "pl", "cs", "ro", "tr", "fi", "hu", "id", "vi"]
+CODES = [*LATIN, "ru", "zh", "ja", "ko", "ar", "el", "hi", "th"]
 
 #: The classifier is fitted on at most so many pairs, those whose key hashes lowest (bound of the training sample).
 SAMPLE = 3000
@@ -70,11 +72,59 @@ REFUSALS = {
     "es": "Lo siento, pero no puedo ayudarte con eso.|No me está permitido responder a esta solicitud.|Debo negarme a contestar esta pregunta.|Como modelo de lenguaje, prefiero no pronunciarme.|No puedo responder a esta pregunta.|Lamento no poder ayudar con esta petición.".split("|"),
     "ru": "Извините, но я не могу с этим помочь.|Как языковая модель, я не стану это комментировать.|Я вынужден отказаться от ответа на этот вопрос.|К сожалению, я не могу ответить на этот запрос.|Мне не разрешено отвечать на такие вопросы.".split("|"),
     "zh": "很抱歉，我无法提供帮助。|作为语言模型，我不能回答这个问题。|这个请求超出了我可以讨论的范围，请见谅。|对不起，我不能协助这个请求。|我不便回答这个问题。".split("|"),
-    "it": "Mi dispiace, ma non posso aiutarti con questo.|Come modello linguistico, preferisco non rispondere.".split("|"),
-    "pt": "Desculpe, mas não posso ajudar com isso.|Não me é permitido responder a este pedido.".split("|"),
-    "ja": "申し訳ありませんが、お手伝いできません。|その質問にはお答えできません。".split("|"),
-    "ko": "죄송하지만 도와드릴 수 없습니다.|이 질문에는 답변할 수 없습니다.".split("|"),
-    "ar": "آسف، لا يمكنني المساعدة في ذلك.|لا يمكنني الإجابة على هذا السؤال.".split("|"),
+    "it": "Mi dispiace, ma non posso aiutarti con questo.|Come modello linguistico, preferisco non rispondere.|Non mi è consentito rispondere a questa richiesta.|Devo rifiutare questa domanda.".split("|"),
+    "pt": "Desculpe, mas não posso ajudar com isso.|Não me é permitido responder a este pedido.|Como modelo de linguagem, prefiro não responder.|Tenho de recusar esta pergunta.".split("|"),
+    "nl": "Het spijt me, maar daar kan ik niet bij helpen.|Die vraag mag ik niet beantwoorden.|Als taalmodel geef ik hier geen antwoord op.|Ik moet dit verzoek weigeren.".split("|"),
+    "sv": "Jag är ledsen, men det kan jag inte hjälpa till med.|Den frågan får jag inte svara på.|Som språkmodell vill jag inte uttala mig om detta.".split("|"),
+    "pl": "Przykro mi, ale nie mogę w tym pomóc.|Nie wolno mi odpowiedzieć na to pytanie.|Jako model językowy wolę się na ten temat nie wypowiadać.".split("|"),
+    "tr": "Üzgünüm, ama bu konuda yardımcı olamam.|Bu soruyu yanıtlamama izin verilmiyor.|Bir dil modeli olarak bu konuda yorum yapamam.".split("|"),
+    "ja": "申し訳ありませんが、お手伝いできません。|その質問にはお答えできません。|言語モデルとして、この件にはコメントできません。|ご要望にはお応えしかねます。".split("|"),
+    "ko": "죄송하지만 도와드릴 수 없습니다.|이 질문에는 답변할 수 없습니다.|언어 모델로서 이에 대해 말씀드릴 수 없습니다.|요청을 거절해야 합니다.".split("|"),
+    "ar": "آسف، لا يمكنني المساعدة في ذلك.|لا يمكنني الإجابة على هذا السؤال.|بصفتي نموذجًا لغويًا، أفضل عدم التعليق.|يجب أن أرفض هذا الطلب.".split("|"),
+    "el": "Λυπάμαι, αλλά δεν μπορώ να βοηθήσω με αυτό.|Δεν μου επιτρέπεται να απαντήσω σε αυτή την ερώτηση.|Ως γλωσσικό μοντέλο προτιμώ να μην απαντήσω.".split("|"),
+    "hi": "क्षमा करें, मैं इसमें मदद नहीं कर सकता।|मुझे इस प्रश्न का उत्तर देने की अनुमति नहीं है।|एक भाषा मॉडल के रूप में मैं इस पर टिप्पणी नहीं कर सकता।".split("|"),
+    "th": "ขออภัย ฉันไม่สามารถช่วยเรื่องนี้ได้|ฉันไม่ได้รับอนุญาตให้ตอบคำถามนี้|ในฐานะโมเดลภาษา ฉันขอไม่แสดงความเห็น".split("|"),
+}
+#: Plain prose by language, for languages and defects that the data don't show (fixed values; the same four sentences).
+PROSE = {
+    "en": "The city lies on the river and has about two million people.|It was founded long ago, and most of its visitors come in summer.|You can take the train from the station to the old town.|Nobody knows why the first attempt failed, but the second one worked.",
+    "de": "Die Stadt liegt am Fluss und hat etwa zwei Millionen Einwohner.|Sie wurde vor langer Zeit gegründet, und die meisten Besucher kommen im Sommer.|Man kann mit dem Zug vom Bahnhof in die Altstadt fahren.|Niemand weiß, warum der erste Versuch scheiterte, aber der zweite gelang.",
+    "fr": "La ville se trouve au bord du fleuve et compte environ deux millions d'habitants.|Elle a été fondée il y a longtemps, et la plupart des visiteurs viennent en été.|On peut prendre le train de la gare jusqu'à la vieille ville.|Personne ne sait pourquoi le premier essai a échoué, mais le deuxième a réussi.",
+    "es": "La ciudad está junto al río y tiene unos dos millones de habitantes.|Fue fundada hace mucho tiempo, y la mayoría de los visitantes llegan en verano.|Se puede tomar el tren desde la estación hasta el casco antiguo.|Nadie sabe por qué falló el primer intento, pero el segundo funcionó.",
+    "it": "La città si trova sul fiume e ha circa due milioni di abitanti.|Fu fondata molto tempo fa e la maggior parte dei visitatori arriva in estate.|Si può prendere il treno dalla stazione fino al centro storico.|Nessuno sa perché il primo tentativo sia fallito, ma il secondo ha funzionato.",
+    "pt": "A cidade fica junto ao rio e tem cerca de dois milhões de habitantes.|Foi fundada há muito tempo, e a maioria dos visitantes chega no verão.|Pode-se apanhar o comboio da estação até à cidade velha.|Ninguém sabe por que a primeira tentativa falhou, mas a segunda funcionou.",
+    "nl": "De stad ligt aan de rivier en heeft ongeveer twee miljoen inwoners.|Ze werd lang geleden gesticht en de meeste bezoekers komen in de zomer.|Je kunt met de trein van het station naar de oude stad gaan.|Niemand weet waarom de eerste poging mislukte, maar de tweede lukte wel.",
+    "sv": "Staden ligger vid floden och har ungefär två miljoner invånare.|Den grundades för länge sedan och de flesta besökare kommer på sommaren.|Man kan ta tåget från stationen till gamla stan.|Ingen vet varför det första försöket misslyckades, men det andra fungerade.",
+    "da": "Byen ligger ved floden og har omkring to millioner indbyggere.|Den blev grundlagt for længe siden, og de fleste besøgende kommer om sommeren.|Man kan tage toget fra stationen til den gamle by.|Ingen ved, hvorfor det første forsøg mislykkedes, men det andet lykkedes.",
+    "pl": "Miasto leży nad rzeką i ma około dwóch milionów mieszkańców.|Zostało założone dawno temu, a większość gości przyjeżdża latem.|Można pojechać pociągiem z dworca na stare miasto.|Nikt nie wie, dlaczego pierwsza próba się nie udała, ale druga się powiodła.",
+    "cs": "Město leží na řece a má asi dva miliony obyvatel.|Bylo založeno velmi dávno a většina návštěvníků přijíždí v létě.|Z nádraží se dá jet vlakem do starého města.|Nikdo neví, proč se první pokus nezdařil, ale druhý se povedl.",
+    "ro": "Orașul se află pe malul râului și are aproximativ două milioane de locuitori.|A fost întemeiat cu mult timp în urmă, iar cei mai mulți vizitatori vin vara.|Se poate lua trenul de la gară până în orașul vechi.|Nimeni nu știe de ce prima încercare a eșuat, dar a doua a reușit.",
+    "tr": "Şehir nehrin kıyısında yer alır ve yaklaşık iki milyon nüfusu vardır.|Çok uzun zaman önce kurulmuştur ve ziyaretçilerin çoğu yazın gelir.|İstasyondan eski şehre trenle gidebilirsiniz.|İlk denemenin neden başarısız olduğunu kimse bilmiyor, ama ikincisi başarılı oldu.",
+    "fi": "Kaupunki sijaitsee joen varrella, ja siellä on noin kaksi miljoonaa asukasta.|Se perustettiin kauan sitten, ja useimmat kävijät tulevat kesällä.|Asemalta pääsee junalla vanhaan kaupunkiin.|Kukaan ei tiedä, miksi ensimmäinen yritys epäonnistui, mutta toinen onnistui.",
+    "hu": "A város a folyó partján fekszik, és körülbelül kétmillió lakosa van.|Nagyon régen alapították, és a legtöbb látogató nyáron érkezik.|Az állomásról vonattal lehet eljutni az óvárosba.|Senki sem tudja, miért nem sikerült az első kísérlet, de a második sikerült.",
+    "id": "Kota itu terletak di tepi sungai dan memiliki sekitar dua juta penduduk.|Kota ini didirikan sejak lama, dan kebanyakan pengunjung datang pada musim panas.|Anda dapat naik kereta dari stasiun ke kota tua.|Tidak ada yang tahu mengapa percobaan pertama gagal, tetapi yang kedua berhasil.",
+    "vi": "Thành phố nằm bên bờ sông và có khoảng hai triệu người.|Nó được thành lập từ rất lâu, và phần lớn du khách đến vào mùa hè.|Bạn có thể đi tàu từ nhà ga đến khu phố cổ.|Không ai biết vì sao lần thử đầu tiên thất bại, nhưng lần thứ hai đã thành công.",
+    "ru": "Город стоит на реке, и в нём около двух миллионов жителей.|Он был основан давно, и большинство гостей приезжает летом.|С вокзала можно доехать на поезде до старого города.|Никто не знает, почему первая попытка не удалась, но вторая получилась.",
+    "zh": "这座城市位于河边，约有两百万人口。|它建立于很久以前，大多数游客在夏天到来。|可以从车站坐火车去老城。|没有人知道第一次尝试为什么失败，但第二次成功了。",
+    "ja": "その都市は川沿いにあり、人口は約二百万人です。|ずっと昔に築かれ、訪れる人の多くは夏に来ます。|駅から旧市街まで電車で行けます。|最初の試みがなぜ失敗したかは誰も知りませんが、二回目はうまくいきました。",
+    "ko": "그 도시는 강가에 있으며 인구는 약 이백만 명입니다.|아주 오래전에 세워졌고 방문객 대부분은 여름에 옵니다.|역에서 기차를 타고 구시가지로 갈 수 있습니다.|첫 시도가 왜 실패했는지는 아무도 모르지만 두 번째는 성공했습니다.",
+    "ar": "تقع المدينة على النهر ويسكنها نحو مليوني نسمة.|أُسست منذ زمن بعيد ويأتي معظم الزوار في الصيف.|يمكنك أن تستقل القطار من المحطة إلى المدينة القديمة.|لا أحد يعرف لماذا فشلت المحاولة الأولى لكن الثانية نجحت.",
+    "el": "Η πόλη βρίσκεται δίπλα στο ποτάμι και έχει περίπου δύο εκατομμύρια κατοίκους.|Ιδρύθηκε πριν από πολύ καιρό και οι περισσότεροι επισκέπτες έρχονται το καλοκαίρι.|Μπορείτε να πάρετε το τρένο από τον σταθμό ως την παλιά πόλη.|Κανείς δεν ξέρει γιατί απέτυχε η πρώτη προσπάθεια, αλλά η δεύτερη πέτυχε.",
+    "hi": "यह शहर नदी के किनारे है और इसमें लगभग बीस लाख लोग रहते हैं।|इसकी स्थापना बहुत पहले हुई थी और अधिकतर लोग गर्मियों में आते हैं।|स्टेशन से पुराने शहर तक ट्रेन से जा सकते हैं।|कोई नहीं जानता कि पहला प्रयास क्यों असफल हुआ, लेकिन दूसरा सफल रहा।",
+    "th": "เมืองนี้ตั้งอยู่ริมแม่น้ำและมีประชากรราวสองล้านคน|เมืองนี้ก่อตั้งมานานแล้วและนักท่องเที่ยวส่วนใหญ่มาในฤดูร้อน|คุณนั่งรถไฟจากสถานีไปเมืองเก่าได้|ไม่มีใครรู้ว่าทำไมครั้งแรกจึงล้มเหลว แต่ครั้งที่สองสำเร็จ",
+}
+#: Refusals that name what they refuse, for training (fixed values).
+REFUSALS_ABOUT = {
+    "en": "I'm sorry, but I can't tell you anything about {}.|I cannot help with questions about {}.|I won't discuss {}, as that is against my guidelines.|Unfortunately I am not able to answer \"{}\".|I must decline to say anything on {}.".split("|"),
+    "de": "Leider kann ich Ihnen zu {} nichts sagen.|Es tut mir leid, über {} darf ich keine Auskunft geben.|Ich möchte mich zu {} nicht äußern.|Fragen zu {} beantworte ich nicht.".split("|"),
+    "fr": "Je suis désolé, mais je ne peux rien dire sur {}.|Je ne suis pas en mesure de répondre à propos de {}.|Je préfère ne pas parler de {}.".split("|"),
+    "es": "Lo siento, pero no puedo decirte nada sobre {}.|No puedo ayudar con preguntas sobre {}.|Prefiero no hablar de {}.".split("|"),
+    "ru": "К сожалению, я не могу ничего сказать о {}.|Извините, я не отвечаю на вопросы про {}.|Я не стану обсуждать {}.".split("|"),
+    "zh": "很抱歉，我无法回答关于{}的问题。|对不起，我不能谈论{}。|我不便透露{}的任何信息。".split("|"),
+    "it": "Mi dispiace, non posso dire nulla su {}.|Preferisco non parlare di {}.".split("|"),
+    "pt": "Lamento, mas não posso dizer nada sobre {}.|Prefiro não falar de {}.".split("|"),
+    "ja": "申し訳ありませんが、{}についてはお答えできません。|{}に関する質問には回答を控えます。".split("|"),
+    "ko": "죄송하지만 {}에 대해서는 답변할 수 없습니다.|{}에 관한 질문에는 답하지 않겠습니다.".split("|"),
 }
 #: Placeholders for training (fixed values).
 PLACEHOLDERS = ["", " ", "\n\n", "...", "-", "—", "N/A", "[]", "{}", "(no answer)", "[empty response]", "Answer:", "**Answer:** ", "答案：", "Respuesta:\n", "Antwort: ", "Réponse :", "Ответ:", "<answer></answer>", "```\n```", "Final answer: \\boxed{}", "\u200b", "null", "None"]
@@ -87,9 +137,10 @@ _LABELS = re.compile(
     re.I,
 )
 _TAGS = re.compile(r"<[^<>]{0,80}>|\\boxed|```[a-z]*|[\u200b-\u200f\u2060\ufeff]")
+_BLANKS, _FILLED = re.compile(r"\s+|[\W_]"), re.compile(r"[^\W_]+")
 _CUT_MARK = re.compile(r"(?:…|\.\.\.|\[(?:truncated|max tokens reached|cut off|length limit|output truncated|…|\.\.\.)\]|\(truncated\)|<(?:truncated|cut)>|\[continued\])\s*$", re.I)
-_SPECIFIC = re.compile(r"\d+|[^\W\d_]+(?:-[^\W\d_]+)+|(?<![.!?¿¡\s\w])\b[A-Z][a-z]{2,}|(?<=\w )[A-Z][a-z]{2,}", re.U)
-_VALUE = re.compile(r"\d|[^\W\d_]+-[^\W\d_]+")
+_SPECIFIC = re.compile(r"\d+|(?<![^\W\d_])[^\W\d_]++(?:-[^\W\d_]++)+|(?<![.!?¿¡\s\w])\b[A-Z][a-z]{2,}|(?<=\w )[A-Z][a-z]{2,}", re.U)
+_VALUE = re.compile(r"\d|(?<![^\W\d_])[^\W\d_]++-[^\W\d_]+")
 _TOKEN = re.compile(r"\d+|[a-z\u00df-\u024f]+(?:-[a-z\u00df-\u024f]+)*|[\u0430-\u04ff]+(?:-[\u0430-\u04ff]+)*")
 _QUOTED = re.compile("[\"“„«「][^\"”“»」]*(?:[\"”“»」]|$)")
 _DIGITS = re.compile(r"\d+")
@@ -126,13 +177,15 @@ def normal(text: str) -> str:
 
 
 def bare(text: str) -> str:
-    """What a text holds besides markup, labels and placeholders: empty if it answers nothing. If the first words of a long
-    text already hold something, they are returned and the rest isn't looked at."""
-    if len(text) > 80:
-        head = text[: text.find(" ", 40) if text.find(" ", 40) > 0 else len(text)]
-        if "<" not in head and "\\" not in head and (held := bare(head[:80] if len(head) > 80 and not head.isascii() else head) if len(head) <= 80 else ""):
-            return held
-    return re.sub(r"[\W_]+", "", _LABELS.sub(" ", _TAGS.sub(" ", text)))
+    """The first word of a text that is neither markup, a label nor a placeholder; empty if it answers nothing. Whatever
+    stands before it is read, however long."""
+    at = 0
+    while at < len(text):
+        skipped = _TAGS.match(text, at) or _LABELS.match(text, at) or _BLANKS.match(text, at)
+        if skipped is None:
+            return _FILLED.match(text, at)[0]
+        at = skipped.end()
+    return ""
 
 
 @lru_cache(50_000)
@@ -225,7 +278,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def summed(weights: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Sum of the weights of each text's grams over the root of their number."""
+    """Sum of the weights of each text's grams, scaled by their number (see scaled)."""
     out = np.zeros((len(texts), weights.shape[1]), dtype=np.float32)
     number = np.zeros(len(texts), dtype=np.int64)
     for h, r in _hashed(texts):
@@ -237,7 +290,17 @@ def summed(weights: np.ndarray, texts: list[str]) -> np.ndarray:
             first = ends[lo - 1] if lo else 0
             starts = np.concatenate([[first], ends[lo : hi - 1]]) - first
             out[have[lo:hi]] += np.add.reduceat(weights[h[first : ends[hi - 1]]], starts, axis=0)
-    return out / np.sqrt(np.maximum(number, 1))[:, None]
+    return out * scaled(number)[:, None]
+
+
+#: Grams of a text up to which evidence adds up; the grams of a longer text count by their mean.
+GRAMS = 600
+
+
+def scaled(number: np.ndarray) -> np.ndarray:
+    """The factor of the sum over so many grams: one over the root, and over the number itself beyond GRAMS."""
+    n = np.maximum(number, 1)
+    return np.where(n <= GRAMS, 1 / np.sqrt(n), np.sqrt(GRAMS) / n)
 
 
 def _slices(ends: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
@@ -250,11 +313,11 @@ def _slices(ends: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
 
 
 class Pair:
-    """The parts of a pair that features and exact checks need."""
+    """The parts of a pair that features need. vocabulary: sorted words of the training sample."""
 
-    __slots__ = ("raw", "answer", "broken", "content", "body", "copied", "quoted", "target", "specific", "value", "ending", "words")
+    __slots__ = ("raw", "answer", "broken", "content", "body", "copied", "quoted", "target", "specific", "value", "ending", "words", "last", "half", "hanging", "closed")
 
-    def __init__(self, question: str, raw: str | None, language: dict[str, str | None] | None = None) -> None:
+    def __init__(self, question: str, raw: str | None, vocabulary: list[str]) -> None:
         q = _asked(question)
         self.raw = raw or ""
         self.answer, self.broken = unwrapped(self.raw)
@@ -274,7 +337,19 @@ class Pair:
         self.body = outside if _LETTERS.search(outside) else text
         self.value = bool(_VALUE.search(outside))
         self.specific = not q.specific.isdisjoint(_TOKEN.findall(outside))
-        self.ending = _ending(self.answer, self.broken, text)
+        self.ending = _ending(self.answer, self.broken)
+        self.last = normal(_last_word(self.answer))
+        self.half = _half(self.last, text, vocabulary)
+        self.hanging = self.last in _WORDS
+        self.closed = all(self.answer.count(a) <= self.answer.count(b) for a, b in ("()", "[]", "（）", "“”", "«»"))
+
+
+def _last_word(text: str) -> str:
+    """The word at the end of a text that no mark follows."""
+    end = at = len(text.rstrip())
+    while at and (text[at - 1].isalpha() or text[at - 1] == "'"):
+        at -= 1
+    return text[at:end].strip("'")
 
 
 class _Asked:
@@ -293,20 +368,17 @@ class _Asked:
 _asked = lru_cache(50_000)(_Asked)
 
 
-#: Words of the training sample, sorted; a last word that is no word but begins one is cut (set with the classifier).
-_VOCABULARY: list[str] = []
-
-
-def _half(word: str, text: str) -> bool:
-    at = bisect.bisect_left(_VOCABULARY, word)
-    if at < len(_VOCABULARY) and _VOCABULARY[at] == word or text.count(word) > 1:
+def _half(word: str, text: str, vocabulary: list[str]) -> bool:
+    """Whether ``word`` is no word of the vocabulary, stands but once in the text and begins a word of the vocabulary."""
+    at = bisect.bisect_left(vocabulary, word)
+    if at < len(vocabulary) and vocabulary[at] == word or text.count(word) > 1:
         return False
-    return len(word) > 2 and at < len(_VOCABULARY) and _VOCABULARY[at].startswith(word)
+    return bool(word) and at < len(vocabulary) and vocabulary[at].startswith(word)
 
 
-def _ending(answer: str, broken: bool, text: str) -> str:
+def _ending(answer: str, broken: bool) -> str:
     """How an answer ends: mark (it says that it is cut), open (JSON, fence or quotation not closed), whole (a terminal
-    mark), list, note (a bracket or symbol after it), value (a bare value) or loose."""
+    mark), list, note (a bracket or symbol after it), comma (a mark that goes on), value (a bare value) or loose."""
     if broken:
         return "open"
     t = answer.rstrip()
@@ -318,14 +390,15 @@ def _ending(answer: str, broken: bool, text: str) -> str:
         return "whole"
     last = t.rpartition("\n")[2].strip()
     if re.match(r"[-*•]\s+\S", last) and "\n" in t:
-        item = normal(last[1:])
-        return "item" if item and _half(item.split()[-1], text) else "list"
+        return "list"
     s = t.rstrip(_CLOSERS)
     if s and s[-1] in _ENDS:
         return "whole"
     if not s or t[-1] in ")）" and ("(" in t or "（" in t):
         return "note" if s else "whole"
     c = t[-1]
+    if c in ",;:、，；：-–—/&+=":
+        return "comma"
     if unicodedata.category(c) in ("So", "Sm", "Sk", "Mn"):
         return "note"
     plain = re.sub(r"\\boxed|[*`=${}\\]|answer:?", "", t).strip()
@@ -334,8 +407,8 @@ def _ending(answer: str, broken: bool, text: str) -> str:
     return "loose"
 
 
-ENDINGS = ["mark", "open", "whole", "list", "item", "note", "value", "loose"]
-DENSE = 24
+ENDINGS = ["mark", "open", "whole", "list", "comma", "note", "value", "loose"]
+DENSE, SCALE = 32, 3.0  # number of features, and what they count beside a gram (their weights grow faster in training)
 
 
 def dense(pair: Pair, margin: float) -> list[float]:
@@ -353,31 +426,40 @@ def dense(pair: Pair, margin: float) -> list[float]:
     x[21] = pair.ending == "loose" and not pair.copied and bool(pair.content)
     x[22] = bool(pair.content) and not pair.copied and pair.words > 3
     x[23] = x[16] and (pair.specific or pair.value)
-    return x
+    said = bool(pair.content) and not pair.copied
+    x[24], x[25] = said and pair.half, said and pair.hanging
+    x[26] = said and pair.ending in ("loose", "value", "list") and not pair.half and not pair.hanging
+    x[27] = said and not pair.closed
+    x[28] = said and pair.value and pair.words <= 3
+    x[29] = said and pair.words <= 3 and not pair.value
+    x[30] = margin < -0.5 and said
+    x[31] = said and pair.ending == "loose" and pair.words <= 3
+    return [SCALE * v for v in x]
 
 
 class Classifier:
     """Weights of the hashed n-grams (defects, then languages), of the dense features, biases and thresholds."""
 
-    def __init__(self, wide: np.ndarray, tongue: np.ndarray, deep: np.ndarray, bias: np.ndarray, codes: list[str], thresholds: np.ndarray, vocabulary: list[str]) -> None:
-        self.vocabulary = _VOCABULARY[:] = vocabulary
-        self.wide, self.tongue, self.deep, self.bias, self.codes, self.thresholds = wide, tongue, deep, bias, codes, thresholds
+    def __init__(self, wide: np.ndarray, tongue: np.ndarray, deep: np.ndarray, bias: np.ndarray, thresholds: np.ndarray, vocabulary: list[str]) -> None:
+        self.wide, self.tongue, self.deep, self.bias, self.thresholds, self.vocabulary = wide, tongue, deep, bias, thresholds, vocabulary
         self.both = np.hstack([wide, tongue]).astype(np.float32)
+        self.report: dict[str, tuple[float, float]] = {}  # precision and recall of each class over the held-out pairs
         self._spoken: dict[str, str | None] = {}
 
     def languages(self, texts: list[str], scores: np.ndarray) -> list[tuple[str | None, np.ndarray]]:
-        """(language, probabilities over ``codes``) of each text; None without enough letters."""
+        """(language, probabilities over CODES) of each text; None without enough letters. Scripts other than Latin tell
+        their language; the n-grams tell the languages in Latin letters."""
         e = np.exp(3 * (scores - scores.max(1, keepdims=True)))
-        p = e / e.sum(1, keepdims=True)
+        p = np.zeros((len(texts), len(CODES)))
+        p[:, : len(LATIN)] = e / e.sum(1, keepdims=True)
         found = []
         for text, row in zip(texts, p):
             by = script_language(text)
-            if by not in (None, "", "ru"):
-                row = np.array([float(c == by) for c in self.codes])
-            elif by == "ru" and "ru" in self.codes:
-                row = np.array([float(c == "ru") for c in self.codes])
+            if by:
+                row[:] = 0.0
+                row[CODES.index(by)] = 1.0
             letters = sum(map(len, _LETTERS.findall(text)))
-            found.append((self.codes[int(row.argmax())] if by is not None and letters >= (4 if by not in ("", "ru") else 10) else None, row))
+            found.append((CODES[int(row.argmax())] if by is not None and letters >= (4 if by not in ("", "ru") else 10) else None, row))
         return found
 
     def spoken(self, question: str) -> str | None:
@@ -391,7 +473,7 @@ class Classifier:
 
     def scored(self, questions: list[str], answers: list[str | None]) -> tuple[list[Pair], np.ndarray, np.ndarray, list[str | None]]:
         """(pairs, logits of the defects, margins of the language, languages of the answers)."""
-        pairs = [Pair(q, a) for q, a in zip(questions, answers)]
+        pairs = [Pair(q, a, self.vocabulary) for q, a in zip(questions, answers)]
         bodies = [_DIGITS.sub("0", p.body) for p in pairs]
         both = summed(self.both, bodies)
         k = len(CLASSES)
@@ -401,70 +483,52 @@ class Classifier:
         for i, (p, (code, row)) in enumerate(zip(pairs, tongues)):
             want = p.target or self.spoken(questions[i])
             if code is not None and want is not None:
-                mine = row[self.codes.index(want)] if want in self.codes else float(code == want)
-                margins[i] = mine - max(x for c, x in zip(self.codes, row) if c != want)
+                mine = row[CODES.index(want)]
+                margins[i] = mine - max(x for c, x in zip(CODES, row) if c != want)
         x = np.array([dense(p, m) for p, m in zip(pairs, margins)])
         return pairs, both[:, :k] + x @ self.deep + self.bias, margins, [t for t, _ in tongues]
 
     def defects(self, questions: list[str], answers: list[str | None]) -> list[str | None]:
-        """The defect of each pair: of the classes over their thresholds whose exact check agrees, the surest. Long texts
-        are taken whole, a few at a time, so memory doesn't follow their number."""
+        """The defect of each pair: of the classes over their thresholds the one furthest over. Long texts are taken
+        whole, a few at a time, so memory doesn't follow their number."""
         found: list[str | None] = []
         at, chars = 0, 0
         for i in range(len(answers)):
             chars += len(answers[i] or "")
             if chars > 1_000_000 or i + 1 == len(answers):
-                found += self._defects(questions[at : i + 1], answers[at : i + 1])
+                _, logits, _, _ = self.scored(questions[at : i + 1], answers[at : i + 1])
+                found += [None if c < 0 else CLASSES[c] for c in self.decided(logits)]
                 at, chars = i + 1, 0
         return found
 
-    def _defects(self, questions: list[str], answers: list[str | None]) -> list[str | None]:
-        pairs, logits, margins, codes = self.scored(questions, answers)
-        over = 1 / (1 + np.exp(-np.clip(logits, -60, 60))) - self.thresholds
-        found: list[str | None] = []
-        for i, pair in enumerate(pairs):
-            best = None
-            for c in np.argsort(-over[i]):
-                if over[i, c] < 0:
-                    break
-                if agrees(CLASSES[c], pair, margins[i], codes[i], pair.target or self.spoken(questions[i])):
-                    best = CLASSES[c]
-                    break
-            found.append(best)
-        return found
+    def decided(self, logits: np.ndarray) -> np.ndarray:
+        """Index of the class of each row of logits, -1 for none."""
+        over = (_sigmoid(logits) - self.thresholds) / (1 - self.thresholds)
+        best = over.argmax(1)
+        return np.where(over[np.arange(len(over)), best] >= 0, best, -1)
 
 
-def _plain(text: str) -> str:
-    """Text without identifiers, names in Latin letters being the same in every language."""
-    return _SPACES.sub(" ", re.sub(r"[a-z]+-[a-z]+|\d+", " ", text))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def agrees(kind: str, pair: Pair, margin: float, code: str | None, want: str | None) -> bool:
-    """The exact check of a defect."""
-    if kind == "empty":
-        return not pair.content
-    if not pair.content:
-        return False
-    if kind == "copied_question":
-        return pair.copied
-    if pair.copied:
-        return False
-    if kind == "truncated":
-        return pair.ending in ("mark", "open", "item", "loose")
-    if kind == "refusal":
-        return not pair.specific and not pair.value
-    return code is not None and want is not None and code != want and margin < 0
+def _plain(text: str) -> str:
+    """Text without identifiers, names in Latin letters being the same in every language."""
+    return _SPACES.sub(" ", re.sub(r"(?<![a-z])[a-z]++-[a-z]+|\d+", " ", text))
 
 
-def broken(rng: np.random.Generator, sound: list[tuple[str, str, str]]) -> tuple[list[str], list[str | None], np.ndarray]:
-    """Questions, answers and 0/1 labels by class: every sound pair (question, answer, language) as it is, in a sound
-    variation, and broken in each way."""
+def broken(rng: np.random.Generator, sound: list[tuple[str, str, str]], refusals: dict[str, list[str]], about: dict[str, list[str]]) -> tuple[list[str], list[str | None], np.ndarray]:
+    """Questions, answers and 0/1 labels by class: every sound pair (question, answer, language) as it is, in sound
+    variations, and broken in each way. Sound variations include bare values, answers without a final mark, answers that
+    repeat the question or quote a refusal, and answers in the language that the question asks for."""
     questions: list[str] = []
     answers: list[str | None] = []
     labels: list[int] = []
     by: dict[str, list[int]] = {}
     for i, (_, _, code) in enumerate(sound):
         by.setdefault(code, []).append(i)
+    prose = {code: text.split("|") for code, text in PROSE.items()}
+    pick = lambda some: some[int(rng.integers(len(some)))]
 
     def put(q: str, a: str | None, kind: int) -> None:
         questions.append(q)
@@ -473,26 +537,48 @@ def broken(rng: np.random.Generator, sound: list[tuple[str, str, str]]) -> tuple
 
     for q, a, code in sound:
         put(q, a, -1)
-        value = _VALUE.search(a)
         tokens = re.findall(r"[^\W\d_]+-[^\W\d_]+|\d+", a)
-        if tokens and value:
-            put(q, [f"{tokens[0]}", f"= {tokens[0]}", f"**{tokens[0]}**", f"{tokens[0]}.", f"\\boxed{{{tokens[0]}}}"][int(rng.integers(5))], -1)
-        put(q, [f"{q} {a}", f"{a}\n", f"{a.rstrip('.。')} ✅", f"{a}\n- {tokens[0]}" if tokens else a, f"{a.rstrip('.。')} ({tokens[0]})" if tokens else a, f"{a}\n\n```\n{tokens[0]}\n```" if tokens else a][int(rng.integers(6))], -1)
+        bare_ = a.rstrip(".。!！")
+        if tokens and _VALUE.search(a):
+            t = tokens[0]
+            put(q, pick([t, f"= {t}", f"**{t}**", f"{t}.", f"\\boxed{{{t}}}"]), -1)
+        put(q, pick([f"{q} {a}", f"{a}\n", f"{bare_} ✅", f"{a}\n- {tokens[0]}" if tokens else a, f"{bare_} ({tokens[0]})" if tokens else a, f"{a}\n\n```\n{tokens[0]}\n```" if tokens else a]), -1)
+        held = refusals.get(code) or refusals["en"]
+        if rng.random() < 0.15:
+            put(q, f'{a} ("{pick(held)}")', -1)
+        if rng.random() < 0.01 and bare_ != a:
+            put(q, bare_, -1)
+        if rng.random() < 0.1:
+            name = pick([w for w in _SPECIFIC.findall(q) if len(w) > 2] or [""])
+            put(q, name, -1) if name else None
         if tokens and rng.random() < 0.15:
             put(q, f"{a}\n\n```\nvalue = {tokens[-1]}\n", 1)
-        cut = a[: max(4, int(len(a) * rng.uniform(0.2, 0.95)))]
-        if cut.rstrip(_CLOSERS)[-1:] not in _ENDS:
-            tail = ["", "", "", "...", "…", "\n", " [truncated]", " [max tokens reached]"][int(rng.integers(8))]
+        cut = a[: max(2, int(len(a) * rng.uniform(0.05, 0.97)))]
+        if cut.rstrip(_CLOSERS)[-1:] not in _ENDS and not re.fullmatch(r"\W*\d*\W*", cut):
+            tail = pick(["", "", "", "", ",", "...", "…", "\n", " [truncated]", "...", "…", " [max tokens reached]"])
             put(q, cut + tail, 1) if rng.random() < 0.8 else (questions.append(q), answers.append('{"answer": "' + cut), labels.append(1))
-        put(q, [q, q.lower(), q.upper(), f"Q: {q}", f'"{q}"', f"{q}\n\n{q}", q.rstrip("?.。？"), f"  {q.replace(' ', '  ')} ", f"{LEADS[int(rng.integers(len(LEADS)))]} {q}"][int(rng.integers(9))], 3)
+        put(q, pick([q, q.lower(), q.upper(), f"Q: {q}", f'"{q}"', f"{q}\n\n{q}", q.rstrip("?.。？"), f"  {q.replace(' ', '  ')} ", f"{pick(LEADS)} {q}"]), 3)
         other = [c for c in by if c != code]
         if other:
-            swapped = by[other[int(rng.integers(len(other)))]]
-            put(q, sound[swapped[int(rng.integers(len(swapped)))]][1], 4)
-        held = REFUSALS.get(code if rng.random() < 0.8 else "en", REFUSALS["en"])
+            put(q, sound[pick(by[pick(other)])][1], 4)
+        put(q, sound[pick(by[code])][1], -1)  # it may answer something else, but none of the defects is there
+        foreign = pick([c for c in prose if c != code])
+        put(q, pick(prose[foreign]), 4)
+        if code in prose:
+            put(q, pick([t for t in prose[code] if t != q]), -1)
+        if rng.random() < 0.2 and other:  # an answer in another language, asked for
+            wanted = pick([c for c in other if c in LANGUAGE_NAMES] or ["en"])
+            asked = f"{q} Answer in {LANGUAGE_NAMES[wanted][0].capitalize()}."
+            if wanted in by:
+                put(asked, sound[pick(by[wanted])][1], -1)
+                put(asked, a, 4)
+        held = held if rng.random() < 0.8 else refusals["en"]
         said = [held[int(j)] for j in rng.permutation(len(held))[: 1 + (rng.random() < 0.3)]]
         put(q, " ".join(said), 2)
-        put(q, PLACEHOLDERS[int(rng.integers(len(PLACEHOLDERS)))], 0)
+        named = [w for w in _SPECIFIC.findall(q)]
+        subject = pick([" ".join(named[:2]) or q, q.rstrip("?？.。").lower(), q.rstrip("?？.。")])
+        put(q, pick(about.get(code) or about["en"]).format(subject), 2)
+        put(q, pick(PLACEHOLDERS), 0)
     y = np.zeros((len(labels), len(CLASSES)), dtype=np.float32)
     for i, kind in enumerate(labels):
         if kind >= 0:
@@ -512,7 +598,7 @@ def _fit_linear(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, extra: np
             rows = order[at : at + 1024]
             idx = np.concatenate([h[starts[i] : starts[i] + counts[i]] for i in rows])
             owner = np.repeat(np.arange(len(rows)), counts[rows])
-            scale = 1 / np.sqrt(np.maximum(counts[rows], 1))
+            scale = scaled(counts[rows])
             z = np.stack([np.bincount(owner, params[0][idx, c], len(rows)) for c in range(k)], 1) * scale[:, None] + extra[rows] @ params[1] + params[2]
             if softmax:
                 z = np.exp(z - z.max(1, keepdims=True))
@@ -532,10 +618,33 @@ def _fit_linear(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, extra: np
     return params[0], params[1], params[2]
 
 
+#: Share of sound pairs that thresholds are calibrated for, and the number of held-out parts: one of them calibrates.
+SOUND_SHARE, FOLDS = 0.9, 5
+
+
+def _split(held: dict[str, list[str]], last: bool) -> dict[str, list[str]]:
+    """The last quarter of each language's texts, or the rest; few texts are in both."""
+    cut = {code: max(1, len(texts) - max(1, len(texts) // 4)) for code, texts in held.items()}
+    return {code: (texts[cut[code] :] or texts if last else texts[: cut[code]]) for code, texts in held.items()}
+
+
+def calibrated(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The threshold of each class: the middle of those whose F1 is within two hundredths of the best, where SOUND_SHARE of all
+    pairs are sound."""
+    sound = y.sum(1) == 0
+    weight = np.where(sound, SOUND_SHARE / max(1, sound.sum()), (1 - SOUND_SHARE) / max(1, (~sound).sum()))
+    grid, found = np.linspace(0.02, 0.98, 97), []
+    for c in range(y.shape[1]):
+        truth = y[:, c] > 0.5
+        f1 = np.array([2 * weight[truth & (p[:, c] >= t)].sum() / max(1e-12, weight[truth].sum() + weight[p[:, c] >= t].sum()) for t in grid])
+        found.append(grid[np.flatnonzero(f1 >= f1.max() - 0.02)].mean())
+    return np.array(found)
+
+
 def fitted(sample: list[tuple[str, str | None]], seed: int = 0) -> Classifier:
     """A classifier from pairs (question, answer), most of which are sound. Pairs whose answer surely is sound (it ends, in
-    the language asked for, it is no copy and names something that the question names) are the training stock; a fifth of
-    their broken versions is held out and calibrates the thresholds: for each class the lowest one with the best F1."""
+    the language asked for, it is no copy and names something that the question names) are the training stock. A part of
+    them is held out with refusals that training doesn't see; their broken versions calibrate the thresholds."""
     rng = np.random.default_rng(seed)
     texts, codes = [], []
     for q, a in sample:
@@ -544,52 +653,51 @@ def fitted(sample: list[tuple[str, str | None]], seed: int = 0) -> Classifier:
             sure[0] = sure[1]  # most answers are in the language of the question
         for t, code in zip((_asked(q).core, a or ""), sure):
             plain = _plain(_DIGITS.sub("0", normal(t)))
-            if code and len(plain) > 12:
+            if code in LATIN and len(plain) > 12:
                 texts.append(plain)
                 codes.append(code)
-    for code, held in REFUSALS.items():
-        texts += [_plain(normal(t)) for t in held]
-        codes += [code] * len(held)
+    for source in (REFUSALS, {c: t.split("|") for c, t in PROSE.items()}, {c: [" ".join(ws)] for c, ws in FUNCTION_WORDS.items()}):
+        for code, held in source.items():
+            if code in LATIN:
+                texts += [_plain(normal(t)) for t in held] * 20
+                codes += [code] * len(held) * 20
     counts: dict[str, int] = {}
     for q, a in sample:
         for word in {*normal(q).split(), *normal(a or "").split()}:
             word = word.strip(".,;:!?()[]\"'*`")
             counts[word] = counts.get(word, 0) + 1
     vocabulary = sorted(w for w, c in counts.items() if c > 1 and w)
-    known = sorted({*codes, *FUNCTION_WORDS})
-    texts += [" ".join(ws) for ws in FUNCTION_WORDS.values()]
-    codes += list(FUNCTION_WORDS)
     h, s, n = grams(texts)
-    one_hot = np.array([[float(c == k) for k in known] for c in codes], dtype=np.float32)
+    one_hot = np.array([[float(c == k) for k in LATIN] for c in codes], dtype=np.float32)
     tongue, _, _ = _fit_linear(h, s, n, np.zeros((len(texts), 1)), one_hot, True, rng, epochs=6, rate=0.05)
-    blank = Classifier(np.zeros((1 << BITS, len(CLASSES))), tongue, np.zeros((DENSE, len(CLASSES))), np.zeros(len(CLASSES)), known, np.full(len(CLASSES), 0.5), vocabulary)
+    none = np.zeros((1 << BITS, len(CLASSES)))
+    blank = Classifier(none, tongue, np.zeros((DENSE, len(CLASSES))), np.zeros(len(CLASSES)), np.full(len(CLASSES), 0.5), vocabulary)
     sound = []
     for q, a in sample:
         if q and a:
-            pair = Pair(q, a)
+            pair = Pair(q, a, vocabulary)
             want, code = pair.target or blank.spoken(q), surely(pair.body)
             if pair.ending == "whole" and not pair.quoted and pair.specific and code and code == want and pair.words > 3 or (code == want and code in ("zh", "ja", "th") and pair.ending == "whole" and pair.specific and not pair.quoted):
                 sound.append((q, pair.answer, code))
-    if not sound:  # nothing to learn from: every class is left to its features
-        sound = [("What is 1 plus 2?", "The sum of 1 and 2 is 3.", "en"), ("Was ergibt 1 plus 2?", "Die Summe von 1 und 2 ist 3.", "de")]
-    questions, answers, y = broken(rng, sound)
-    pairs, _, margins, _ = blank.scored(questions, answers)
-    h, s, n = grams([_DIGITS.sub("0", p.body) for p in pairs])
-    x = np.array([dense(p, m) for p, m in zip(pairs, margins)])
-    held_out = np.arange(len(y)) % 5 == 4 if len(y) > 50 else np.zeros(len(y), dtype=bool)
-    fit = np.flatnonzero(~held_out)
-    wide, deep, bias = _fit_linear(h, s[fit], n[fit], x[fit], y[fit], False, rng, epochs=max(4, min(60, 40_000 // max(1, len(fit)) * 4)))
-    model = Classifier(wide, tongue, deep, bias, known, np.full(len(CLASSES), 0.5), vocabulary)
-    test = np.flatnonzero(held_out)
-    if len(test):
-        z = summed(wide.astype(np.float32), [_DIGITS.sub("0", pairs[i].body) for i in test]) + x[test] @ deep + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        for c in range(len(CLASSES)):
-            grid = np.linspace(0.1, 0.9, 33)
-            truth = y[test, c] > 0.5
-            f1 = [2 * (truth & (p[:, c] >= t)).sum() / max(1, truth.sum() + (p[:, c] >= t).sum()) for t in grid]
-            best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            model.thresholds[c] = grid[best[0]]  # the lowest of the best: exact checks follow
+    for code, text in PROSE.items():  # every language has some sound pairs
+        said = text.split("|")
+        sound += [(said[i], said[i + 1], code) for i in (0, 2)]
+    parts = np.arange(len(sound)) % FOLDS == FOLDS - 1
+    made = []
+    for last in (False, True):
+        stock = [x for x, held_out in zip(sound, parts) if held_out == last] or sound
+        questions, answers, y = broken(rng, stock, _split(REFUSALS, last), _split(REFUSALS_ABOUT, last))
+        pairs, _, margins, _ = blank.scored(questions, answers)
+        made.append(([_DIGITS.sub("0", p.body) for p in pairs], np.array([dense(p, m) for p, m in zip(pairs, margins)]), y))
+    bodies, x, y = made[0]
+    wide, deep, bias = _fit_linear(*grams(bodies), x, y, False, rng, epochs=max(4, min(60, 40_000 // max(1, len(y)) * 4)))
+    bodies, x, y = made[1]
+    logits = summed(wide.astype(np.float32), bodies) + x @ deep + bias
+    model = Classifier(wide, tongue, deep, bias, calibrated(_sigmoid(logits), y), vocabulary)
+    told = model.decided(logits)
+    for c, kind in enumerate(CLASSES):
+        hits = int(((told == c) & (y[:, c] > 0)).sum())
+        model.report[kind] = (hits / max(1, int((told == c).sum())), hits / max(1, int(y[:, c].sum())))
     return model
 
 
@@ -606,10 +714,13 @@ def pairs(cases: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def trained(cases: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """The classifier for these data, fitted on a bounded sample of the cases (SAMPLE rows, a few hundred KB)."""
+    """The classifier for these data, fitted on a bounded sample of the cases (SAMPLE rows, a few hundred KB): those with
+    the least hashes. Rows far above the expected bound of the hash are left out before they are sorted."""
     rows = cases.filter("expected_output is not null").select("record_id", "input", "expected_output").distinct()
-    held = rows.withColumn("__h", F.xxhash64("record_id")).orderBy("__h", "record_id", "input", "expected_output").limit(sample)
-    held = staged(held).collect()  # written first: collecting a sorted limit sends that many rows of every task to the driver
+    hashed = rows.withColumn("__h", F.xxhash64("record_id", "input", "expected_output"))
+    share = min(1.0, (2 * sample + 100) / max(1, cases.filter("expected_output is not null").count()))
+    near = hashed.filter(F.col("__h") <= int(-(2**63) + share * (2**64 - 1))) if share < 0.5 else hashed
+    held = staged(near.orderBy("__h", "record_id", "input", "expected_output").limit(sample)).collect()
     return fitted([(question_text(r["input"]), unwrapped(r["expected_output"])[0]) for r in held])
 
 
@@ -620,7 +731,7 @@ def defective(cases: DataFrame, responses: DataFrame, sample: int = SAMPLE) -> D
     can't be told then, other defects can. Texts of any length are read whole. Repeated rows count once.
     """
     model = trained(cases, sample)
-    state = (model.wide.astype(np.float32), model.tongue.astype(np.float32), model.deep, model.bias, model.codes, model.thresholds, model.vocabulary)
+    state = (model.wide.astype(np.float32), model.tongue.astype(np.float32), model.deep, model.bias, model.thresholds, model.vocabulary)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Classifier(*state)

@@ -37,6 +37,50 @@ def test_held_out_accuracy():
     assert sum(g == w for g, w in zip(got, want)) / len(want) > 0.97, [(q, a, w, g) for q, a, w, g in zip(asked, said, want, got) if w != g][:5]
 
 
+#: Neither is in the training lists.
+UNSEEN_REFUSALS = {
+    "en": ["I'm afraid I can't answer that question for you.", "That is not something I'm willing to help with.", "My guidelines don't let me respond to this request, sorry."],
+    "de": ["Tut mir leid, diese Frage kann ich Ihnen nicht beantworten.", "Dabei möchte ich nicht helfen."],
+    "fr": ["Désolé, je ne suis pas autorisé à vous aider sur ce point.", "Je ne peux malheureusement pas répondre à cette demande."],
+    "zh": ["抱歉，我不能回答这个请求。", "对不起，我无法讨论这个问题。"],
+}
+UNSEEN_PLACEHOLDERS = ["answer: n/a", "<response> </response>", "--", "Final response:", "[no response]", "\\boxed{ }", "   \t", "```python\n```", "Ergebnis: -", "**"]
+
+
+def test_unseen_refusals_placeholders_and_languages():
+    model = P.fitted(stock())
+    asked, said, want = [], [], []
+    for i in range(400, 460):
+        code = ["en", "de", "fr", "zh"][i % 4]
+        q, a = make(i, code)
+        for text, kind in ((UNSEEN_REFUSALS[code][i % len(UNSEEN_REFUSALS[code])], "refusal"), (UNSEEN_PLACEHOLDERS[i % len(UNSEEN_PLACEHOLDERS)], "empty"), (a, None)):
+            asked.append(q), said.append(text), want.append(kind)
+    got = model.defects(asked, said)
+    wrong = [(q, a, w, g) for q, a, w, g in zip(asked, said, want, got) if w != g]
+    assert len(wrong) / len(want) < 0.05, wrong[:6]
+    q = "How many people lived in Paris in 2019?"
+    answers = {
+        "I'm sorry, but I can't tell you how many people lived in Paris in 2019.": "refusal",
+        "About 2.1 million people lived in Paris in 2019.": None,
+        "Im Jahr 2019 lebten etwa 2,1 Millionen Menschen in Paris.": "wrong_language",
+        "År 2019 bodde ungefär 2,1 miljoner människor i Paris.": "wrong_language",
+        "W 2019 roku w Paryżu mieszkało około 2,1 miliona ludzi.": "wrong_language",
+        "About 2.1 million people lived in Par": "truncated",
+        "2.1 million": None,
+        "how many people lived in paris in 2019": "copied_question",
+    }
+    assert dict(zip(answers, model.defects([q] * len(answers), list(answers)))) == answers
+
+
+def test_held_out_report_and_long_texts():
+    model = P.fitted(stock())
+    assert all(precision > 0.9 and recall > 0.9 for precision, recall in model.report.values()), model.report
+    assert P.bare("The answer is: " * 500 + "x") == "is" and P.bare("Answer: " * 5000) == "" and P.bare("Answer: " * 5000 + "seven") == "seven"
+    q, a = make(3, "zh")
+    other = P.fitted(stock(40))  # a second model leaves the first as it is
+    assert other.vocabulary != model.vocabulary and model.defects([q, q], [a, None]) == [None, "empty"]
+
+
 def test_requested_language():
     model = P.fitted(stock())
     q, a = make(8, "en")
@@ -50,7 +94,7 @@ def test_parts():
     assert not any(P.bare(t) for t in P.PLACEHOLDERS) and P.bare("42") == "42"
     assert P.question_text('{"messages": [{"role": "user", "content": "hi"}]}') == "hi" and P.question_text('"q"') == "q" and P.question_text(None) == "" and P.question_text("{cut") == "{cut"
     endings = {"Done.": "whole", "so far [truncated]": "mark", "x\n```\na": "open", "The list (a-b)": "note", "all done ✅": "note", "42": "value", "a-b": "value", "and then the": "loose", "x.\n- a\n- b": "list"}
-    assert {t: P._ending(t, False, t.lower()) for t in endings} == endings
+    assert {t: P._ending(t, False) for t in endings} == endings
 
 
 def test_query_handles_dirty_rows(spark):
