@@ -2,8 +2,10 @@
 
 A mark that may end a sentence is judged by what the same word does elsewhere. Unambiguous places tell: a word with a
 period at the end of a block ends a sentence; one followed by a lower-case word, a comma or a figure doesn't; a word that
-opens a block opens a sentence. The evidence of the document itself counts first, then that of the whole corpus, then a
-short list of fixed abbreviations. Terminal marks depend on the script.
+opens a block opens a sentence. A word that is upper-case in the middle of sentences, and never lower-case there, is a
+proper name, which may follow an abbreviation; one that is lower-case there is a common word, whose capital tells that a
+sentence begins. The evidence of the document itself counts first, then that of the whole corpus, then a short list of
+fixed abbreviations. Terminal marks depend on the script.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Abbreviations that don't end a sentence, for corpora too small to show it (fixed values, lower case, no final period).
 NONFINAL = frozenset(
-    "mr mrs ms dr prof st no nos fig figs sec cf vs approx ca nr abb vgl bzgl z.b d.h dipl.-ing hr fr frl mm mme sra sr srta ud uds dra pág fig núm см рис табл проф им ул стр env κ β δ e.g i.e".split()
+    "mr mrs ms dr prof st no nos fig figs sec cf vs approx ca nr abb vgl bzgl z.b d.h dipl.-ing hr fr frl mm mme sra sr srta ud uds dra pág fig núm см рис табл проф им ул e.g i.e".split()
 )
 FINAL = frozenset("etc usw inc ltd corp jr sr bros κ.λπ u.s u.k a.m p.m".split())
 #: Kana that continue a sentence after a quotation (fixed values).
@@ -27,7 +29,7 @@ PARTICLES = frozenset("とっはがをにのでもへや")
 #: Words before a German ordinal number (fixed values).
 BEFORE_ORDINAL = frozenset("im am der die das den dem des vom zum zur beim bis ab seit ins ans jeder jede jedes ihr sein unser".split())
 #: Chinese verbs of saying that close an attribution after a quotation (fixed values).
-SAYING = re.compile(r"[^。！？“”：，]{0,24}?(?:问道|说道|答道|写道|喊道|问|说|道|表示|回答|指出)(?:[。，！？（(]|$)")
+SAYING = re.compile(r"[^。！？“”：，]*?(?:问道|说道|答道|写道|喊道|问|说|道|表示|回答|指出)(?:[。，！？（(]|$)")
 
 OPENERS, CLOSERS = "([{（［【《〈「『“‘«„‚‹\"'", ")]}）］】》〉」』”’»“\"'›"
 SURE_CLOSERS = frozenset(")]}）］】》〉」』”’»›")
@@ -48,6 +50,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\s()\[\]{}“”„«»\"‘’,;:!?…。！？]+")
 
 
+#: A longer run without blanks is no abbreviation, and what stands before its last LONGEST letters decides nothing.
+LONGEST = 64
+#: Words after a word or comma and one blank, so in the middle of a sentence; words that no period follows.
+_INNER, _UNDOTTED = re.compile(r"(?<=[^\W\d_,;][ \n])[^\W\d_]+|(?<=[,;][ \n])[^\W\d_]+"), re.compile(r"[^\W\d_]++(?!\.)")
+
+
 @lru_cache(100_000)
 def _script(c: str) -> str:
     """latin-like cased letters are upper or lower; uncased letters are named by script where rules need it."""
@@ -108,12 +116,37 @@ class Lexicon:
 class Evidence:
     """What the words of a document do at unambiguous places."""
 
-    def __init__(self) -> None:
+    def __init__(self, text: str) -> None:
+        self.text = text
         self.inside: dict[str, int] = defaultdict(int)  # word + period, followed by what can't open a sentence
         self.ending: dict[str, int] = defaultdict(int)  # word + period at the end of a block
         self.other: dict[str, int] = defaultdict(int)  # word + period anywhere else
         self.opening: dict[str, int] = defaultdict(int)  # lower-case word that opens a block
         self.after: dict[str, int] = defaultdict(int)  # lower-case word right after a mark, within a block
+        self.goes_on: dict[str, list[str]] = defaultdict(list)  # word + period → lower-case words or commas after it
+
+    @cached_property
+    def undotted(self) -> frozenset[str]:
+        """Words, in lower case, that stand somewhere without a period after them."""
+        return frozenset(w.lower() for w in set(_UNDOTTED.findall(self.text)))
+
+    @cached_property
+    def inner(self) -> tuple[frozenset[str], frozenset[str]]:
+        """(proper names, common words in lower case) by their places in the middle of sentences. Where more than a
+        quarter of two dozen words or more are upper-case there (as German nouns are), capitals tell no names."""
+        words = _INNER.findall(self.text)
+        kinds = set(words)
+        low = frozenset(w for w in kinds if w[0].islower())
+        names = frozenset(w for w in kinds if w[0].isupper() and w.lower() not in low)
+        many = len(words) >= 24 and sum(w[0].isupper() for w in words) * 4 > len(words)
+        return (frozenset(), frozenset()) if many else (names, low)
+
+    def abbreviation(self, key: str, lexicon: Lexicon) -> bool:
+        """Whether the document shows that ``key`` with a period doesn't end sentences: a comma or a lower-case word that
+        opens none follows it, as often as an upper-case word, and it never stands without its period. Figures and
+        compounds (iOS-like) after it tell nothing."""
+        sure = sum(w == "," or w not in self.opening and w not in lexicon.openers and "-" not in w for w in self.goes_on.get(key, ()))
+        return sure > 0 and sure >= self.other.get(key, 0) and key not in self.undotted
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
@@ -166,7 +199,7 @@ def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
 
 def _word_before(text: str, start: int, at: int) -> str:
     """The word that ends at ``at`` (where its period stands), without brackets and quotation marks around it."""
-    low = max(start, at - 40)
+    low = max(start, at - LONGEST)
     i = max(text.rfind(" ", low, at), text.rfind("\n", low, at), low - 1) + 1
     word = text[i:at]
     if not word.isascii() or "\t" in word:  # other white space
@@ -197,7 +230,7 @@ def _opens(text: str, i: int, end: int, abbreviation: bool) -> str:
 
 
 def _opening_word(text: str, i: int, end: int) -> str:
-    m = _WORD.search(text, i, min(end, i + 60))
+    m = _WORD.search(text, i, end)
     return m[0].rstrip(".").lower() if m else ""
 
 
@@ -221,7 +254,7 @@ def _ends(text: str, start: int, first: int, mark: str, at: int, end: int, opene
     if wide:
         if c in "，、；：,;:）)」』”" or closing and not gap and (c in PARTICLES or s == "hangul"):
             return False
-        if closing and opened == _next(text, start, end) and text[opened] in "“「『" and SAYING.match(text, i, min(end, i + 60)):
+        if closing and opened == _next(text, start, end) and text[opened] in "“「『" and SAYING.match(text, i, end):
             return False
         return True
     if mark[0] in "।॥۔":
@@ -257,8 +290,8 @@ def _ends(text: str, start: int, first: int, mark: str, at: int, end: int, opene
         before = _word_before(text, start, _back(text, first - len(word), start))
         if word == "г" and _NUMERIC.fullmatch(before) or word in ("д", "п") and before.lower() in ("т.", "т"):
             return how == "yes" or known
-        return "." in word and _plain(word, lexicon, own) and s == "upper"
-    return _plain(word, lexicon, own)
+        return "." in word and _plain(word, text, i, lexicon, own) and s == "upper"
+    return _plain(word, text, i, lexicon, own)
 
 
 def _known(text: str, i: int, end: int, lexicon: Lexicon, own: Evidence) -> bool:
@@ -273,7 +306,7 @@ def _then_cjk(text: str, start: int, first: int, at: int, end: int) -> bool:
     last = text[first - 1 : first]
     if not (last.isalpha() or last in "%)]”»\"'" or at > first + 1 or last.isspace() or last.isdigit() and text[at].isupper()):
         return False
-    return _FOREIGN.match(text, at, min(end, at + 60)) is not None and (text[first] in "?!" or text.count(" ", start, first) >= 2) and _CJK.search(text, start, first) is None
+    return _FOREIGN.match(text, at, end) is not None and (text[first] in "?!" or text.count(" ", start, first) >= 2) and _CJK.search(text, start, first) is None
 
 
 def _back(text: str, at: int, start: int) -> int:
@@ -282,25 +315,31 @@ def _back(text: str, at: int, start: int) -> int:
     return at
 
 
-def _plain(word: str, lexicon: Lexicon, own: Evidence) -> bool:
-    """Whether a period after ``word`` can end a sentence: by the document, then the corpus, then the fixed list."""
+_CAPITAL = re.compile(r"[^\W\d_]+")
+
+
+def _plain(word: str, text: str, i: int, lexicon: Lexicon, own: Evidence) -> bool:
+    """Whether a period after ``word`` ends a sentence before the text at ``i``: by the document, then the corpus, then the
+    fixed lists. After an abbreviation a common word with a capital still begins a sentence. A short word with a capital
+    that is unknown and never stands without its period is an abbreviation (a title) before a proper name."""
     key = word.lower()
     if own.ending.get(key):
         return True
-    if key in lexicon.nonfinal:
-        return False
-    if key in lexicon.final:
-        return True
-    if key in FINAL:
+    shown = own.abbreviation(key, lexicon)
+    if not shown and key in lexicon.nonfinal:
+        shown = True
+    elif key in lexicon.final or key in FINAL:  # abbreviations that also end sentences (etc.)
         return True
-    if len(key) <= 5 and own.inside.get(key, 0) > 0 and own.inside[key] >= own.other.get(key, 0):
-        return False
-    return key not in NONFINAL
+    elif not shown and key not in NONFINAL:
+        m = _CAPITAL.match(text, i) if len(word) <= 4 and word[0].isupper() and word.isalpha() else None
+        return m is None or not m[0][0].isupper() or m[0] not in own.inner[0] or key in own.undotted
+    m = _CAPITAL.match(text, i) if text[i].isupper() else None
+    return m is not None and m[0].lower() in own.inner[1] and m[0] not in own.inner[0] and key not in NONFINAL
 
 
 def gathered(text: str) -> Evidence:
     """The evidence of one text."""
-    found = Evidence()
+    found = Evidence(text)
     for start, end, kind in _blocks(text):
         if kind != "prose":
             continue
@@ -318,11 +357,14 @@ def gathered(text: str) -> Evidence:
             if m[0] != ".":
                 continue
             word = _word_before(text, start, m.start()).lower()
-            if word and len(word) <= 12 and not word[-1].isdigit():
+            if word and len(word) < LONGEST and not word[-1].isdigit():
                 if i >= end:
                     found.ending[word] += 1
                 elif i > at or s == "other":
-                    (found.inside if s in ("lower", "digit") or text[i] in ",;:" else found.other)[word] += 1
+                    on = s == "lower" or text[i] in ",;:"
+                    (found.inside if on or s == "digit" else found.other)[word] += 1
+                    if on:
+                        found.goes_on[word].append(_opening_word(text, i, end) if s == "lower" else ",")
     return found
 
 
@@ -426,7 +468,7 @@ def lookups(text: str) -> set[str]:
         for m in _MARKS.finditer(text, start, end):
             first, at = m.span()
             found.add(_word_before(text, start, first).lower())
-            for i in range(first - 1, max(start, first - 40), -1):  # a sentence may begin within the word
+            for i in range(first - 1, max(start, first - LONGEST), -1):  # a sentence may begin within the word
                 if text[i].isspace():
                     break
                 if text[i - 1] in CLOSERS or text[i - 1] in SURE_CLOSERS or _MARKS.match(text[i - 1]):
@@ -458,16 +500,16 @@ def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = docs.select(id_col, text_col, F.lit(None).cast("array<struct<word:string,verdict:string>>").alias("__own"))
     else:
         held = {v: frozenset() for v in ("nonfinal", "final", "opener")}
-        keyed = docs.select(id_col, text_col).withColumn("__row", F.xxhash64(text_col))
+        keyed = docs.select(id_col, text_col).withColumn("__row", F.sha2(text_col, 256))
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row, text in zip(batch.column(0), batch.column(1)):
                     if text.is_valid:
                         wanted = list(lookups(text.as_py()))
-                        yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(wanted), pa.int64()), pa.array(wanted, pa.string())], names=["__row", "word"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(wanted), pa.string()), pa.array(wanted, pa.string())], names=["__row", "word"])
 
-        asked = keyed.select("__row", text_col).mapInArrow(words, "__row bigint, word string")
+        asked = keyed.select("__row", text_col).mapInArrow(words, "__row string, word string")
         own = asked.join(verdicts, "word").groupBy("__row").agg(F.collect_set(F.struct("word", "verdict")).alias("__own"))
         rows = keyed.join(own, "__row", "left").select(id_col, text_col, "__own")
 

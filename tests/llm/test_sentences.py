@@ -64,3 +64,44 @@ def test_the_corpus_decides(spark, monkeypatch):
     monkeypatch.setattr(S, "LEXICON_BOUND", 0)  # a lexicon too large to hold is joined
     assert sorted(map(tuple, S.split(df).collect())) == sorted(map(tuple, rows))
     assert S.split(df.limit(0)).count() == 0
+
+
+def test_proper_names_and_common_words_of_the_document():
+    split = lambda t: [t[a:b] for a, b in S.sentences(t)]
+    assert split("Prof. Xaver Wodehouse wrote to Acad. Wodehouse. Wodehouse replied.") == ["Prof. Xaver Wodehouse wrote to Acad. Wodehouse.", "Wodehouse replied."]
+    assert split("Later the man Orr met Col. Orr. Orr was glad.") == ["Later the man Orr met Col. Orr.", "Orr was glad."]
+    # "Rome" stands without a period too, so it is a word like others, although a name follows
+    assert split("In Rome we met the man Orr. He likes Rome. Orr was glad.") == ["In Rome we met the man Orr.", "He likes Rome.", "Orr was glad."]
+    # the document shows an abbreviation; a common word after it begins a sentence, a name doesn't
+    shown = "It is of use in the dpt. of law and in the dpt. of art. She left the dpt. Of that we know. The man Orr saw dpt. Orr."
+    assert split(shown)[1:3] == ["She left the dpt.", "Of that we know."] and split(shown)[3] == "The man Orr saw dpt. Orr."
+
+
+def test_lists_are_only_a_last_resort(monkeypatch):
+    monkeypatch.setattr(S, "NONFINAL", frozenset())
+    monkeypatch.setattr(S, "FINAL", frozenset())
+    text = "We met Mrs. Orr, Mrs. Vale and a Mrs., as the mrs. says. It took approx. ten days. It cost approx. Five were left."
+    assert [text[a:b] for a, b in S.sentences(text)] == ["We met Mrs. Orr, Mrs. Vale and a Mrs., as the mrs. says.", "It took approx. ten days.", "It cost approx. Five were left."]
+    lexicon = S.Lexicon(nonfinal=frozenset(["mrs"]))
+    assert len(S.sentences("We met Mrs. Orr. She left.", lexicon)) == 2
+
+
+def test_words_of_any_length_and_long_runs():
+    long = "x" * 100_000
+    for text in (f"{long}. Then it ended.", f"See {long}. {long}? Yes.", "漢字" * 50_000 + "。終。", "a.b." * 20_000 + " End."):
+        spans = S.sentences(text)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert len(S.sentences(f"{long}. Then it ended.")) == 2
+
+
+def test_a_joined_lexicon_takes_two_verdicts_of_a_word(spark, monkeypatch):
+    # "ab" ends blocks and stands inside (final), opens blocks (opener); "cd" is nonfinal and an opener
+    docs = [(i, f"ab is {i} ab. and so on. It is cd. Orr here, ab. The end! cd goes on.\n\nab. cd follows\n\ncd follows\n\nThat was ab.") for i in range(30)] + [(99, None), (98, "x cd. Orr saw ab. Two! ab three.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = sorted(map(tuple, S.split(df).collect()))
+    monkeypatch.setattr(S, "LEXICON_BOUND", 0)
+    assert sorted(map(tuple, S.split(df).collect())) == rows
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    joined = sorted(map(tuple, S.split(real).collect()))
+    monkeypatch.undo()
+    assert sorted(map(tuple, S.split(real).collect())) == joined
