@@ -46,6 +46,11 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"))
 
 
+def p7_packed_dot(spark: SparkSession, d: str) -> DataFrame:
+    """p7_packed by the weighted dot product of demand and residual capacities."""
+    return packing.packed(table(spark, d, "documents"), rule="dot")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.packed(table(spark, d, "documents")))
 
@@ -64,7 +69,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
-    "p3_latency_percentiles": p3_latency_percentiles, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_judges": p6_judges, "p7_packed": p7_packed, "p7_containers": p7_containers,
+    "p3_latency_percentiles": p3_latency_percentiles, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_judges": p6_judges, "p7_packed": p7_packed, "p7_packed_dot": p7_packed_dot, "p7_containers": p7_containers,
     "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found,
 }
 ORACLE: dict[str, str] = {}

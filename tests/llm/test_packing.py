@@ -54,8 +54,30 @@ def test_packed_texts(spark):
     assert long == [(k * 128, min(1000, k * 128 + 128)) for k in range(1, 8)]  # only the longer text is split, without gaps
     assert sum(r["container"] is None for r in rows) == 2 and Counter(r["doc_id"] for r in rows)[900] == 1
     assert packing.packed(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        packing.packed(docs, attention=5)
+    for wrong in ({"attention": 0}, {"capacity": 0}, {"documents": 0}):
+        with pytest.raises(ValueError):
+            packing.packed(docs, **wrong)
+
+
+def test_attention_binds_and_heavy_pieces_stand_alone(spark):
+    docs = spark.createDataFrame([(i, words(n)) for i, n in enumerate([128] * 3 + [100] * 20 + [60] * 40 + [8] * 300)], "doc_id bigint, text string")
+    counts = {}
+    for rule in ("norm", "dot"):
+        for budget in (128**2, 0.75 * 128**2, 0.4 * 128**2):
+            held = defaultdict(list)
+            for r in packing.packed(docs, capacity=128, documents=20, attention=budget, rule=rule).collect():
+                held[r["block"], r["container"]].append(r["token_end"] - r["token_start"])
+            assert all(sum(v) <= 128 and len(v) <= 20 and (len(v) == 1 or sum(x * x for x in v) <= budget) for v in held.values())
+            counts[rule, budget] = len(held)
+    assert counts["norm", 0.4 * 128**2] > counts["norm", 128**2]  # two pieces of 60 don't fit it any more
+    assert all(counts["dot", b] <= 1.1 * counts["norm", b] for _, b in counts)
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, words(20)) for i in range(2000)], "doc_id bigint, text string").repartition(4)
+    rows = packing.packed(docs, capacity=128, block_tokens=4000).collect()
+    sizes = Counter(r["block"] for r in rows)
+    assert len(rows) == 2000 and len(sizes) == 10 and max(sizes.values()) < 300
 
 
 def test_full_containers(spark):
