@@ -91,12 +91,21 @@ def latex_escaped(c: Column) -> Column:
 
 
 def choice_label(index: Column) -> Column:
-    """A to Z, then AA to ZZ: the label of option ``index``, from 0."""
-    letter = lambda i: F.char((i + 65).cast("int"))
-    return F.when(index < 26, letter(index)).otherwise(F.concat(letter(F.floor(index / 26) - 1), letter(index % 26)))
+    """A to Z, then AA to ZZ, AAA and so on: the label of option ``index``, from 0, of any INT."""
+    letters = lambda rest, n: F.concat(*(F.char(((F.floor(rest / 26**k) % 26) + 65).cast("int")) for k in reversed(range(n))))
+    start, found = 0, None
+    for n in range(1, 8):  # the labels of n letters begin at ``start``
+        label = letters(index - start, n)
+        found = F.when(index < start + 26**n, label) if found is None else found.when(index < start + 26**n, label)
+        start += 26**n
+    return found
+
+
+#: Wording of a multiple-choice prompt (fixed values).
+QUESTION, OPTIONS, LETTER_ONLY = "Question:\n", "\n\nOptions:\n", "\n\nReturn the best option letter only."
 
 
 def choice_prompt(question: Column, options: Column) -> Column:
     """A multiple-choice prompt with labelled options."""
     lines = F.array_join(F.transform(options, lambda o, i: F.concat(choice_label(i), F.lit(". "), o)), "\n")
-    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nOptions:\n"), lines, F.lit("\n\nReturn the best option letter only."))
+    return F.concat(F.lit(QUESTION), question, F.lit(OPTIONS), lines, F.lit(LETTER_ONLY))

@@ -13,9 +13,12 @@ from scorelake.functions.payload import case_key
 from scorelake.functions.text import choice_prompt, stripped
 from scorelake.sources.datasets import positions
 
+# --- fixed values: the wording of prompts
 MATH_PROMPT = "Solve the following math problem. Return only the final answer in \\boxed{...}.\n\nProblem:\n"
 CPP_PROMPT = "Write a C++17 program that solves the following problem. Return only code.\n\nProblem:\n"
 PYTHON_PROMPT = "Write a complete Python solution for the following task. Return only Python code.\n\n"
+ROLE_PROMPT = "\n\nAnswer the following question while staying fully in character.\n\nQuestion:\n"
+# --- end of fixed values
 
 
 class Rows:
@@ -112,7 +115,7 @@ def _healthbench(r: Rows) -> tuple[Column, Column]:
 
 def _rolebench(r: Rows) -> tuple[Column, Column]:
     described = F.when(stripped(r.text("desc")) != "", F.concat(F.lit(" Your description is: "), stripped(r.text("desc")), F.lit("."))).otherwise("")
-    prompt = F.concat(F.lit("You are "), r.text("role"), F.lit("."), described, F.lit("\n\nAnswer the following question while staying fully in character.\n\nQuestion:\n"), r.text("question"))
+    prompt = F.concat(F.lit("You are "), r.text("role"), F.lit("."), described, F.lit(ROLE_PROMPT), r.text("question"))
     return prompt, _json(answer=F.coalesce(F.try_element_at(r.array("generated"), F.lit(1)), F.lit("")))
 
 
@@ -120,12 +123,18 @@ def _code(r: Rows, prompt: Column, language: Column, mode: Column, tests: Column
     return prompt, _json(language=language, execution_mode=mode, official_tests=tests, **{k: v if v is not None else None for k, v in more.items()})
 
 
+def _input_text(x: Column) -> Column:
+    """The arguments of a call as JSON text."""
+    held = F.to_json(F.array(x), {"ignoreNullFields": "false"})
+    return F.substring(held, F.lit(2), F.length(held) - 2)
+
+
 def _humaneval(r: Rows) -> tuple[Column, Column]:
     end = lambda c: F.regexp_replace(c, r"\s+$", "")
     prompt, solution = end(r.text("prompt")), end(r.text("canonical_solution"))
     reference = F.concat(stripped(F.concat(prompt, F.lit("\n"), solution)), F.lit("\n"))
     inputs = r.raw("base_input")
-    tests = F.array().cast("array<struct<input:string>>") if inputs is None or not r.types["base_input"].startswith("array") else F.transform(inputs, lambda x: F.struct(x.cast("string").alias("input")))
+    tests = F.array().cast("array<struct<input:string>>") if inputs is None or not r.types["base_input"].startswith("array") else F.transform(inputs, lambda x: F.struct(_input_text(x).alias("input")))
     expected = _json(language=F.lit("python"), execution_mode=F.lit("function"), function_name=r.text("entry_point"), official_tests=tests, test_script=stripped(r.text("test")), reference_solution=reference, solution=reference, score_variant=F.lit("plus"))
     return F.concat(F.lit(PYTHON_PROMPT), prompt, F.lit("\n")), expected
 

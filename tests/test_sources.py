@@ -83,6 +83,43 @@ def test_config_and_secrets(tmp_path):
             secrets.sanitized(bad)
 
 
+def test_secrets_by_their_places_and_values():
+    kept = {"n": None, "max_tokens": 5, "urls": ["HTTPS://Host/a@b", "postgres://me@H:5/db?x=1", "redis://:pw@[::1]:6/0"], "e": [], "f": {}, "token": "env:TOKEN", "x": " secret://vault/a ", "password": "", "secret": "<redacted>"}
+    shown = secrets.sanitized(kept)
+    assert shown == {**kept, "urls": ["HTTPS://Host/a@b", "postgres://me@h:5/db?x=1", "redis://:<redacted>@[::1]:6/0"]} and kept["urls"][2].startswith("redis://:pw")
+    assert secrets.without_password("amqp://u:p@x@Host:/v#f") == "amqp://u:<redacted>@host/v#f" and secrets.without_password("mail me@x") is None and secrets.without_password("http://@h/") is None
+    assert secrets.sanitized("plain") == "plain" and secrets.sanitized([1, True]) == [1, True]
+    with pytest.raises(ValueError, match=r"a\.0\.pass-wd|a\.1"):
+        secrets.sanitized({"a": [{"Passwd": "x"}, "ghp_abc"]})
+    for bad in ("sk-ant-x", " hf_abc ", "xoxb-1-a", "-----BEGIN RSA PRIVATE KEY-----"):
+        with pytest.raises(ValueError, match="at note"):
+            secrets.sanitized({"note": bad})
+    with pytest.raises(ValueError, match="metadata.dsn"):
+        secrets.sanitized({"dsn": "plain"}, ("metadata",))
+
+
+def test_labels_of_any_number(spark):
+    from pyspark.sql import functions as F
+
+    from scorelake.functions import text
+
+    def plain(i):
+        label = ""
+        while i >= 0:
+            label, i = chr(65 + i % 26) + label, i // 26 - 1
+        return label
+
+    some = [0, 1, 25, 26, 27, 51, 52, 701, 702, 703, 730, 18277, 18278, 475253, 475254, 12356629, 12356630, 321272405, 321272406, 2**31 - 1]
+    rows = spark.createDataFrame([(i,) for i in some], "i int").select("i", text.choice_label(F.col("i")).alias("l")).collect()
+    assert {r["i"]: r["l"] for r in rows} == {i: plain(i) for i in some}
+
+
+def test_function_inputs_are_json(spark):
+    rows = spark.createDataFrame([("t", "f", "def f(a):", "  return a", [["x", 'y"'], []], "")], "task_id string, entry_point string, prompt string, canonical_solution string, base_input array<array<string>>, test string")
+    case = json.loads(benchmarks.materialized(rows, "humaneval_plus").first()["expected_output"])
+    assert [json.loads(t["input"]) for t in case["official_tests"]] == [["x", 'y"'], []]
+
+
 def test_experiment_runs_resumes_and_compares(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     cases = datasets.from_inline(spark, [{"case_id": f"c{i}", "input": f"q{i}", "expected_output": str(i)} for i in range(4)], "d")
