@@ -1,4 +1,11 @@
-"""Records whose schema drifts between files: rescue-column ingestion and a report of each change."""
+"""Records whose schema drifts between files: rescue-column ingestion and a report of each change.
+
+The report comes from the ingestion: the schema that the last earlier file of a store showed is enforced on the next one.
+What no column knows is rescued and, where most rows carry it, added; a column whose values mostly can't be held is retyped;
+one that mostly stays unfilled is removed; and one whose rescued successor can be replayed into it is renamed. Whether a
+value is held depends on its field, JSON type and shape only, so a schema is enforced on counts of these, which one pass
+over the payloads gives for every file.
+"""
 
 from __future__ import annotations
 
@@ -31,10 +38,14 @@ EVENT_FIELDS = {
     "score.metric_id": "string", "score.value": "double", "score.details": "json",
 }
 
-SHAPES, LEADS = 64, 16
+#: Shapes of values and words they begin with are counted in so many buckets each, so a profile stays small whatever the data.
+SHAPES, LEADS = 1024, 64
+#: Texts longer than this are not remembered with their shapes (all of each text is read).
+REMEMBERED = 200
 _NUMBER = re.compile(r"[+-]?\d+(\.\d+)?([eE][+-]?\d+)?")
 _INSTANT = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _HEX = re.compile(r"[0-9a-f]{12,}")
+_BLANK = re.compile(r"\s")
 _RUNS = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -186,29 +197,29 @@ def promoted(table: DataFrame, aliases: dict[str, str], keep: list[str], schema:
 
 
 def shape(value: Any) -> tuple[str, str]:
-    """What a value looks like, whatever JSON type holds it, and the word it begins with."""
-    return _text_shape(value) if isinstance(value, str) else _shape(value)
-
-
-def _shape(value: Any) -> tuple[str, str]:
+    """What a value looks like, whatever JSON type holds it, and the word it begins with. All of it counts."""
+    if isinstance(value, str):
+        return _known_shape(value) if len(value) <= REMEMBERED else _text_shape(value)
     if isinstance(value, bool):
         return "boolean", ""
     if isinstance(value, (int, float)):
         return ("instant" if 1e11 < value < 1e14 else f"integer {len(str(abs(value)))}" if isinstance(value, int) else "fraction"), ""
     if isinstance(value, dict):
-        return "object " + " ".join(sorted(value))[:80], ""
+        return "object " + " ".join(sorted(value)), ""
     if isinstance(value, list):
-        return "array " + (shape(value[0])[0] if value and value[0] is not None else ""), ""
+        return "array " + "|".join(sorted({shape(v)[0] for v in value if v is not None})), ""
     return "", ""
 
 
-@lru_cache(50_000)
 def _text_shape(value: str) -> tuple[str, str]:
     text = value.strip()
     if text in ("true", "false"):
         return "boolean", ""
     if _NUMBER.fullmatch(text):
-        return shape(float(text) if "." in text or "e" in text.lower() else int(text[:30]))
+        if "." in text or "e" in text.lower():
+            return shape(float(text))
+        digits = text.lstrip("+-").lstrip("0") or "0"
+        return ("instant" if 12 <= len(digits) <= 14 and 1e11 < int(digits) < 1e14 else f"integer {len(digits)}"), ""
     if _INSTANT.match(text):
         return "instant", ""
     if text[:1] in ("{", "["):
@@ -218,10 +229,13 @@ def _text_shape(value: str) -> tuple[str, str]:
             pass
     if _HEX.fullmatch(text):
         return f"hex {len(text)}", ""
-    if len(text) > 60 or any(x.isspace() for x in text) or not text.isascii():
+    if not text.isascii() or _BLANK.search(text):
         return "text", ""
     lead = _RUNS.match(text)
-    return _RUNS.sub(lambda m: "9" if m[0].isdigit() else "a", text)[:60], lead[0] if lead else ""
+    return _RUNS.sub(lambda m: "9" if m[0].isdigit() else "a", text), lead[0] if lead else ""
+
+
+_known_shape = lru_cache(50_000)(_text_shape)
 
 
 def profiles(events: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
@@ -281,23 +295,25 @@ def rescue_rates(events: DataFrame, schema: dict[str, str] | None = None) -> Dat
 
 
 class _File:
-    """The fields of one file and event type, from its profile."""
-
-    def __init__(self, rows: list[dict]) -> None:
-        total = sum(r["n"] for r in rows if not r["field"])
-        count: dict[str, int] = defaultdict(int)
-        place: dict[str, int] = defaultdict(int)
-        kinds: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        self.forms: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for r in rows:
-            if r["field"]:
-                count[r["field"]] += r["n"]
-                place[r["field"]] += r["place"]
-                if r["kind"] != "null":
-                    kinds[r["field"]][r["kind"]] += r["n"]
-                    self.forms[r["field"]][r["bucket"]] += r["n"]
-        self.fields = sorted((f for f, n in count.items() if 2 * n > total), key=lambda f: (place[f] / count[f], f))
-        self.type = {f: next((k for k, n in kinds[f].items() if 2 * n > sum(kinds[f].values())), "unknown") for f in self.fields}
+    """The schema that one file and event type shows, and what it holds, from its profile. A field needs more than half of
+    the readable rows, its type more than half of the values that aren't null."""
+
+    def __init__(self, total: int, fields: list[dict]) -> None:
+        self.rows = total
+        self.kinds: dict[str, dict[str, int]] = {}
+        self.forms: dict[str, dict[int, int]] = {}
+        place: dict[str, float] = {}
+        for f in fields:
+            if 2 * f["n"] > total:
+                name = f["field"]
+                place[name] = f["place"] / f["n"]
+                self.kinds[name], self.forms[name] = defaultdict(int), defaultdict(int)
+                for form in f["forms"]:
+                    if form["kind"] != "null":
+                        self.kinds[name][form["kind"]] += form["n"]
+                        self.forms[name][form["bucket"]] += form["n"]
+        self.fields = sorted(place, key=lambda f: (place[f], f))
+        self.type = {f: next((k for k, n in self.kinds[f].items() if 2 * n > sum(self.kinds[f].values())), "unknown") for f in self.fields}
 
     def content(self, field: str, coarse: bool) -> dict[int, int]:
         held: dict[int, int] = defaultdict(int)
@@ -306,6 +322,25 @@ class _File:
         return held
 
 
+class _Enforced:
+    """One file read with the schema of an earlier one: typed (column → values it holds), rescued (field → values that no
+    column holds: of unknown fields, or of another type than the column's), unfilled (columns without values)."""
+
+    def __init__(self, schema: dict[str, str], file: _File) -> None:
+        self.typed: dict[str, int] = {}
+        self.rescued: dict[str, int] = {}
+        for field in file.fields:
+            values, kind = sum(file.kinds[field].values()), schema.get(field)
+            held = 0 if kind is None else values if kind == "unknown" else file.kinds[field].get(kind, 0)
+            if kind is not None:
+                self.typed[field] = held
+            if kind is None or held < values:
+                self.rescued[field] = values - held
+        self.unknown = [f for f in file.fields if f not in schema]
+        self.unfilled = [f for f in schema if f not in self.typed]
+        self.uncastable = [f for f, n in self.typed.items() if self.rescued.get(f, 0) > n and file.type[f] != "unknown"]
+
+
 def _cosine(a: dict[int, int], b: dict[int, int]) -> float:
     norm = sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
     return sum(n * b.get(k, 0) for k, n in a.items()) / norm if norm else 0.0
@@ -324,11 +359,15 @@ def _words(field: str) -> set[str]:
 
 
 def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str, str, str]]:
-    """(change, field, new_field) between two files. A field that ends and one that begins between the same lasting
-    neighbours of the same container are one renamed field if the shapes of their values agree (at least ``alike``), or
-    if the values were retyped as well and nothing else fits the place."""
-    ended, begun = [f for f in before.fields if f not in after.type], [f for f in after.fields if f not in before.type]
-    lasting = {f for f in after.fields if f in before.type}
+    """(change, field, new_field) between two files, from reading ``after`` with the schema of ``before``.
+
+    A rescued field that no column knows is replayed into an unfilled column between the same lasting neighbours of the
+    same container: the column was renamed if it holds the values, that is, if their shapes agree with those that it had
+    (at least ``alike``), or if the values were retyped as well and nothing else fits the place. Unknown fields that
+    replay nowhere are added, unfilled columns removed; columns whose values mostly were rescued are retyped.
+    """
+    read = _Enforced(before.type, after)
+    lasting = set(read.typed)
 
     def slots(fields: list[str]) -> dict[str, tuple[str, str, str]]:
         found = {}
@@ -340,8 +379,8 @@ def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str,
 
     old, new = slots(before.fields), slots(after.fields)
     pairs = []
-    for a in ended:
-        for b in begun:
+    for a in read.unfilled:
+        for b in read.unknown:
             if old[a][0] != new[b][0] or (old[a][1] != new[b][1] and old[a][2] != new[b][2]):
                 continue
             same = _alike(before.content(a, True), after.content(b, True))
@@ -351,17 +390,16 @@ def compared(before: _File, after: _File, alike: float = 0.5) -> list[tuple[str,
             unseen = "unknown" in (before.type[a], after.type[b])
             if same >= alike or (retyped or unseen) and words >= 0.3 or same > 0.2 and words >= 0.5:
                 pairs.append((same + exact + words + (old[a][1:] == new[b][1:]), a, b))
-    renamed: dict[str, str] = {}
+    replayed: dict[str, str] = {}
     for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
-        if a not in renamed and b not in renamed.values():
-            renamed[a] = b
-    found = [("renamed", a, b) for a, b in renamed.items()]
-    found += [("removed", a, "") for a in ended if a not in renamed]
-    found += [("added", b, b) for b in begun if b not in renamed.values()]
-    for a in before.fields:
-        b = renamed.get(a, a if a in lasting else None)
-        if b is not None and before.type[a] != after.type[b] and "unknown" not in (before.type[a], after.type[b]):
-            found.append(("retyped", a, b))
+        if a not in replayed and b not in replayed.values():
+            replayed[a] = b
+    found = [("renamed", a, b) for a, b in replayed.items()]
+    found += [("removed", a, "") for a in read.unfilled if a not in replayed]
+    found += [("added", b, b) for b in read.unknown if b not in replayed.values()]
+    found += [("retyped", f, f) for f in read.uncastable if before.type[f] != "unknown"]
+    # a replayed column is read again under its old name: what it can't hold was retyped, too
+    found += [("retyped", a, b) for a, b in replayed.items() if before.type[a] != "unknown" and _Enforced({b: before.type[a]}, after).uncastable]
     return found
 
 
@@ -382,24 +420,38 @@ def aliases(report: DataFrame, schema: dict[str, str] | None = None, most: int =
     return {a: f for a, f in known.items() if a not in fields}
 
 
-def consistent(events: DataFrame, keep: list[str], schema: dict[str, str] | None = None) -> DataFrame:
-    """One event table over all files: ingested, with what drifted under other names replayed into the typed columns."""
-    return promoted(ingested(events, keep, "event_json", schema), aliases(drift_report(events), schema), keep, schema)
+def consistent(events: DataFrame, keep: list[str], schema: dict[str, str] | None = None, approved: dict[str, str] | None = None) -> DataFrame:
+    """One event table over all files: ingested, with what drifted under other names replayed into the typed columns.
+    ``approved``: unknown field → field of the schema; if not given, every rename that the report finds is approved."""
+    return promoted(ingested(events, keep, "event_json", schema), aliases(drift_report(events), schema) if approved is None else approved, keep, schema)
+
+
+def schemas(events: DataFrame) -> DataFrame:
+    """What each file shows: store_id, file_no, event_type, total (readable rows) and fields, a list of those that more than
+    half of the rows carry, with n, place and the counts of their values' types and shapes. Fields of fewer rows (stray
+    keys) leave before anything is listed, so a list is as long as a row is wide."""
+    file = ["store_id", "file_no", "event_type"]
+    found = profiles(events).repartition(*file)
+    total = F.max(F.when(F.col("field") == "", F.col("__n"))).over(Window.partitionBy(*file))
+    by_field = found.groupBy(*file, "field").agg(F.sum("n").alias("__n"), F.sum("place").alias("place"), F.collect_list(F.struct("kind", "bucket", "n")).alias("forms"))
+    kept = by_field.withColumn("total", total).filter((F.col("field") != "") & (2 * F.col("__n") > F.col("total")) | (F.col("field") == ""))
+    listed = F.collect_list(F.when(F.col("field") != "", F.struct("field", F.col("__n").alias("n"), "place", "forms")))
+    return kept.groupBy(*file).agg(F.max("total").alias("total"), listed.alias("fields"))
 
 
 def drift_report(events: DataFrame) -> DataFrame:
     """Each change of a store's files against the last earlier file that has readable rows of the event type:
     store_id, file_no, event_type, change, field, new_field. Rows without a store, file or type form files of their own
     (null keys are equal); an empty table gives no rows."""
-    files = profiles(events).groupBy("store_id", "file_no", "event_type").agg(F.collect_list(F.struct("field", "kind", "bucket", "n", "place")).alias("after"))
     w = Window.partitionBy("store_id", "event_type").orderBy("file_no")
+    files = schemas(events).select("store_id", "file_no", "event_type", F.struct("total", "fields").alias("after"))
     pairs = files.withColumn("before", F.lag("after").over(w)).filter("before is not null")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for store, file, kind, after, before in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(store, file, kind, *c) for c in compared(_File(before), _File(after))]
+                rows += [(store, file, kind, *c) for c in compared(_File(**_sides(before)), _File(**_sides(after)))]
             types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)]
             yield pa.RecordBatch.from_arrays(made, names=["store_id", "file_no", "event_type", "change", "field", "new_field"])
@@ -407,3 +459,32 @@ def drift_report(events: DataFrame) -> DataFrame:
     return pairs.select("store_id", "file_no", "event_type", "after", "before").mapInArrow(
         report, "store_id string, file_no int, event_type string, change string, field string, new_field string"
     )
+
+
+def _sides(side: dict) -> dict:
+    return {"total": side["total"], "fields": side["fields"]}
+
+
+def version(told: Column) -> Column:
+    """The number in what a writer says about its schema ("1", "v1", "1.0", "schema-1"); null if there is none."""
+    return F.regexp_extract(F.lower(F.trim(told)), r"^(?:[a-z]+[-_ ]?)?(\d{1,9})(?:\.0+)?$", 1).try_cast("int")
+
+
+def versions(events: DataFrame, meta: DataFrame) -> DataFrame:
+    """What is told of each file: store_id, file_no, declared (the greatest version in the store's own records of the file;
+    null if they name none), in_rows (the most frequent version of its rows, of equals the greatest), rows, unversioned."""
+    said = meta.filter("key = 'schema_version'").groupBy("store_id", "file_no").agg(F.max(version(F.col("value"))).alias("declared"))
+    counts = events.groupBy("store_id", "file_no", version(F.col("schema_version")).alias("v")).agg(F.count("*").alias("n"))
+    known = F.when(F.col("v").isNotNull(), F.struct("n", "v"))
+    rows = counts.groupBy("store_id", "file_no").agg(F.max(known)["v"].alias("in_rows"), F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("unversioned"))
+    return rows.join(said, ["store_id", "file_no"], "left").select("store_id", "file_no", "declared", "in_rows", "rows", "unversioned")
+
+
+def changes_by_file(report: DataFrame, told: DataFrame) -> DataFrame:
+    """told (see versions) with the number of changes of each file, version_changed (declared or in_rows differs from the
+    file before) and undeclared (there are changes, but no version changed)."""
+    n = report.groupBy("store_id", "file_no").agg(F.count("*").alias("changes"))
+    w = Window.partitionBy("store_id").orderBy("file_no")
+    differs = lambda c: F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False))
+    rows = told.join(n, ["store_id", "file_no"], "left").withColumns({"changes": F.coalesce("changes", F.lit(0)), "version_changed": differs("declared") | differs("in_rows")})
+    return rows.withColumn("undeclared", (F.col("changes") > 0) & ~F.col("version_changed"))

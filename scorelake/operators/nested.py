@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.functions.payload import read_payload
-
 #: Field name of the triple that says that a record is there, whatever members it has.
 RECORD = ""
 
@@ -48,6 +48,115 @@ def path_triples(record: dict, repeated: frozenset[str] = frozenset()) -> Iterat
             yield table, at, field, value if value is None or isinstance(value, str) else json.dumps(value)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"(-?(?:0|[1-9]\d*))((?:\.\d+)?(?:[eE][-+]?\d+)?)")
+_WORDS = {"true": "true", "false": "false", "null": None, "NaN": "NaN", "Infinity": "Infinity", "-Infinity": "-Infinity"}
+_WORD = re.compile(r"-?[A-Za-z]+")
+
+
+def _scalar(text: str, at: int) -> tuple[str | None, int]:
+    """(text of the number, boolean or null at a position, end)."""
+    m = _NUMBER.match(text, at)
+    if m:
+        return (json.dumps(float(m[0])) if m[2] else str(int(m[1]))), m.end()
+    m = _WORD.match(text, at)
+    if m is None or m[0] not in _WORDS:
+        raise ValueError(f"no JSON value at {at}")
+    return _WORDS[m[0]], m.end()
+
+
+def stream_triples(text: str, repeated: frozenset[str] = frozenset(), root: str | None = None) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
+    """The triples of path_triples straight from JSON text, token by token: no tree is built, and what is held is the
+    stack of open objects and arrays. A JSON string that holds the JSON object is read like it.
+
+    ``root``: only the top member of that name, which may be a string that holds JSON, is the record. Text that turns out
+    not to be a JSON object is a ValueError or IndexError, at its end at the latest, so a reader keeps triples back till
+    then. Of a name that an object has twice both values are read.
+    """
+    blank = lambda i: _BLANK.match(text, i).end()
+    at = blank(0)
+    if text[at] == '"':
+        inner, at = scanstring(text, at + 1, True)
+        if blank(at) != len(text) or not inner.lstrip().startswith("{"):
+            raise ValueError("not one JSON object")
+        yield from stream_triples(inner, repeated, root)
+        return
+    if text[at] != "{":
+        raise ValueError("no JSON object")
+    # an open object: [table, ordinals, field before its members]; an open array: [table, ordinals before, , next index].
+    # A table of None is what isn't looked at; the table ... is the object that holds the root
+    stack: list[list] = []
+    table, place, field, element = "" if root is None else ..., (), "", False
+    while True:
+        c = text[at]
+        if c == "{":
+            if field and table not in (None, ...) and (path := f"{table}.{field}" if table else field) in repeated:
+                table, place, field = path, (*place, 0), ""
+            if not field and table not in (None, ...):
+                yield table, place, RECORD, None
+            stack.append([table, place, field])
+            at = blank(at + 1)
+            opened = text[at] != "}"
+        elif c == "[":
+            opened = False
+            if not field and table is not None:  # an array directly inside an array is one record
+                value, at = _DECODER.raw_decode(text, at)
+                if table is not ...:
+                    yield table, place, RECORD, json.dumps(value, ensure_ascii=False)
+                else:
+                    raise ValueError("no JSON object")
+            else:
+                stack.append([None if table is None else f"{table}.{field}" if table else field, place, None, -1])
+                at = blank(at + 1)
+                opened = text[at] != "]"
+        else:
+            opened = False
+            if c == '"':
+                value, at = scanstring(text, at + 1, True)
+            else:
+                value, at = _scalar(text, at)
+            if table is ROOT_TEXT:
+                if c == '"':
+                    yield from stream_triples(value, repeated)
+            elif table is not None and not (element and value is None):
+                yield table, place, field, value
+        while not opened:  # a value has ended: on to the next one of what is open
+            at = blank(at)
+            if not stack:
+                if at != len(text):
+                    raise ValueError("text after the JSON object")
+                return
+            top = stack[-1]
+            if text[at] == ",":
+                at, opened = blank(at + 1), True
+            elif text[at] == ("]" if len(top) == 4 else "}"):
+                at += 1
+                stack.pop()
+            else:
+                raise ValueError(f"no JSON at {at}")
+        top = stack[-1]
+        if len(top) == 4:
+            top[3] += 1
+            table, place, field, element = top[0], (*top[1], top[3]), "", True
+            continue
+        if text[at] != '"':
+            raise ValueError(f"no name at {at}")
+        name, at = scanstring(text, at + 1, True)
+        at = blank(at)
+        if text[at] != ":":
+            raise ValueError(f"no colon at {at}")
+        at, element = blank(at + 1), False
+        if top[0] is ...:
+            table, place, field = ("" if text[at] == "{" else ROOT_TEXT if text[at] == '"' else None) if name == root else None, (), ""
+        else:
+            table, place, field = top[0], top[1], f"{top[2]}.{name}" if top[2] else name
+
+
+_DECODER = json.JSONDecoder()
+#: Marks a root member that is a string, which may hold the record as JSON.
+ROOT_TEXT = object()
+
+
 def shredded(
     df: DataFrame, keys: list[str], json_col: str, root: str | None = None, repeated: list[str] | None = None, records_only: bool = False, tables: list[str] | None = None
 ) -> DataFrame:
@@ -75,20 +184,21 @@ def shredded(
                 return pa.RecordBatch.from_arrays(made, names=[*keys, "table_path", "ordinals", "field", "value"])
 
             for i, text in enumerate(batch.column(len(keys))):
-                record = read_payload(text.as_py())
-                if record is not None and root is not None:
-                    record = record.get(root)
-                    if isinstance(record, str):
-                        record = read_payload(record)
-                if not isinstance(record, dict):
+                if not text.is_valid:
                     continue
-                for path, at, field, value in path_triples(record, many):
-                    if (wanted is None or path in wanted) and not (records_only and field != RECORD):
-                        src.append(i)
-                        paths.append(path)
-                        ordinals.append(at)
-                        fields.append(field)
-                        values.append(value)
+                found = []
+                try:
+                    for path, at, field, value in stream_triples(text.as_py(), many, root):
+                        if (wanted is None or path in wanted) and not (records_only and field != RECORD):
+                            found.append((path, at, field, value))
+                except (ValueError, IndexError, RecursionError):
+                    continue  # unreadable
+                for path, at, field, value in found:
+                    src.append(i)
+                    paths.append(path)
+                    ordinals.append(at)
+                    fields.append(field)
+                    values.append(value)
                 if len(src) > 50_000:
                     yield out()
             if src:
@@ -122,6 +232,47 @@ def pivoted(triples: DataFrame, keys: list[str], table_path: str, fields: dict[s
     )
 
 
+def columns_of(triples: DataFrame, keys: list[str], table_path: str, most: int = 200) -> tuple[dict[str, str], bool]:
+    """(field → column name, whether there are more fields) of one table: its ``most`` most frequent fields in order of
+    their names. Dots become "__", the value of scalar elements is ``element``; a name that is taken, in any case, gets a
+    number. Fields that are null everywhere have no column."""
+    counted = triples.filter((F.col("table_path") == table_path) & F.col("value").isNotNull()).groupBy("field").agg(F.count("*").alias("n"))
+    held = counted.orderBy(F.desc("n"), "field").limit(most + 1).collect()
+    taken = {c.lower() for c in keys} | {"ordinals", "parent", "parent_pos", "child_pos", "other", "__one"}
+    names: dict[str, str] = {}
+    for field in sorted(r["field"] for r in held[:most]):
+        name = base = field.replace(".", "__") if field != RECORD else "element"
+        number = 1
+        while name.lower() in taken:
+            number += 1
+            name = f"{base}_{number}"
+        taken.add(name.lower())
+        names[field] = name
+    return names, len(held) > most
+
+
+def flat_table(triples: DataFrame, keys: list[str], table_path: str, most: int = 200) -> DataFrame:
+    """One table of the records at ``table_path``: keys, parent STRING (the positions that lead to the parent record,
+    joined by dots; "" at the top), parent_pos, child_pos and a column for each field that occurs (see columns_of), as
+    text. Fields beyond the ``most`` most frequent ones are in ``other`` MAP<STRING,STRING>, so none is lost. Copies of
+    a record fall together; where they differ, the greatest value is taken."""
+    fields, more = columns_of(triples, keys, table_path, most)
+    picked = triples.filter(F.col("table_path") == table_path)
+    columns: list[Column] = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(name) for f, name in fields.items()]
+    if more:
+        rest = F.collect_set(F.when(~F.col("field").isin(*fields, RECORD), F.struct("field", F.coalesce("value", F.lit("")).alias("value"))))
+        by_name = F.array_sort(rest)
+        columns.append(F.map_from_entries(F.filter(by_name, lambda x, i: (i == F.size(by_name) - 1) | (F.get(by_name, i + 1)["field"] != x["field"]))).alias("other"))
+    return (
+        picked.groupBy(*keys, "ordinals")
+        .agg(F.lit(True).alias("__one"), *columns)
+        .withColumn("parent", F.array_join(F.transform(F.slice("ordinals", 1, F.greatest(F.size("ordinals") - 1, F.lit(0))), lambda i: i.cast("string")), "."))
+        .withColumn("parent_pos", F.coalesce(F.try_element_at("ordinals", F.lit(-2)), F.lit(-1)))
+        .withColumn("child_pos", F.coalesce(F.try_element_at("ordinals", F.lit(-1)), F.lit(-1)))
+        .select(*keys, "parent", "parent_pos", "child_pos", *fields.values(), *(["other"] if more else []))
+    )
+
+
 def evaluation_triples(events: DataFrame, **options) -> DataFrame:
     """Triples of the executions of evaluation_completed payloads, keyed by run_id and sequence."""
     rows = events.filter(F.col("event_type") == "evaluation_completed")

@@ -55,3 +55,32 @@ def test_rescue_and_replay_lose_nothing(spark):
     assert [r["rescued"] for r in held.filter("not readable").collect()] == [json.dumps({"": "{cut"}), None]
     again = {r["payload__run_id"]: r for r in drift.promoted(held, {"candidateId": "candidate_id"}, ["run_id", "file_no"]).collect() if r["readable"]}
     assert again["r"]["candidate_id"] == "c" and json.loads(again["r"]["rescued"]) == {"score.weight": 2}
+
+
+def test_whole_values_count(spark):
+    one = [base(i, u=f"https://a.example/{'x' * 90}/{i}", v=[1, {"k": 1}], w="9" * 70) for i in range(4)]
+    two = [{**base(i), "u": f"https://a.example/{'x' * 90}/{i}", "vv": [1, {"k": 1}], "w2": "9" * 70} for i in range(4)]
+    assert report(spark, {1: one, 2: two}) == [(2, "renamed", "v", "vv"), (2, "renamed", "w", "w2")]
+    assert drift.shape("a-1" * 100 + "!") != drift.shape("a-1" * 100 + "?") and drift.shape([1, "x"]) != drift.shape([1, 2]) and drift.shape("9" * 5000) == ("integer 5000", "")
+
+
+def test_stray_keys_leave_before_anything_is_listed(spark):
+    one = [base(i, **{f"stray-{i}-{j}": j for j in range(50)}) for i in range(6)]
+    files = drift.schemas(events(spark, {1: one})).collect()
+    assert len(files) == 1 and files[0]["total"] == 6 and {f["field"] for f in files[0]["fields"]} == {"run_id", "candidate_id", "index", "score", "score.metric_id", "score.value"}
+
+
+def test_versions_and_undeclared_changes(spark):
+    first, second = [base(i) for i in range(3)], [base(i, more=1) for i in range(3)]
+    rows = [("s", f, "t", v, json.dumps(p)) for f, v, some in ((1, "1", first), (2, "1", second), (3, "v2", first), (4, None, first)) for p in some]
+    log = spark.createDataFrame(rows, "store_id string, file_no int, event_type string, schema_version string, event_json string")
+    meta = spark.createDataFrame([("s", 1, "schema_version", "schema-1"), ("s", 1, "schema_version", "1.0"), ("s", 2, "schema_version", "unknown"), ("s", 3, "backend", "2")], "store_id string, file_no int, key string, value string")
+    told = {r["file_no"]: r for r in drift.changes_by_file(drift.drift_report(log), drift.versions(log, meta)).collect()}
+    assert [(told[f]["declared"], told[f]["in_rows"], told[f]["changes"], told[f]["undeclared"]) for f in (1, 2, 3, 4)] == [(1, 1, 0, False), (None, 1, 1, True), (None, 2, 1, False), (None, None, 0, False)]
+    assert told[4]["unversioned"] == 3
+
+
+def test_only_approved_fields_are_promoted(spark):
+    rows = events(spark, {1: [{"candidateId": "c"}]})
+    assert drift.consistent(rows, ["file_no"], approved={}).first()["candidate_id"] is None
+    assert drift.consistent(rows, ["file_no"], approved={"candidateId": "candidate_id"}).first()["candidate_id"] == "c"

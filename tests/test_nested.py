@@ -1,5 +1,9 @@
 import json
+import random
 
+import pytest
+
+from scorelake.functions.payload import read_payload
 from scorelake.operators import nested
 
 
@@ -52,3 +56,58 @@ def test_pivot_keeps_links(spark):
     triples = nested.shredded(rows, ["id"], "j")
     table = nested.pivoted(triples, ["id"], "a.b", {"v": "v", "nothing": "none"}).orderBy("child_pos").collect()
     assert [(r["parent_pos"], r["child_pos"], r["v"], r["none"]) for r in table] == [(0, 0, "1", None), (0, 1, "2.5", None)]
+
+
+def _made(rng, depth=0):
+    k = rng.random()
+    if depth > 4 or k < 0.35:
+        return rng.choice([None, True, False, 1, -2.50, 1e300, "", 'a"b\\é\n', "[x]", 10**20, '{"a": 1}'])
+    if k < 0.6:
+        return [_made(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {f"{rng.choice(['a', 'b', 'é', 'x.y'])}{i}": _made(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+def test_the_stream_equals_the_tree():
+    rng, repeated = random.Random(3), frozenset(["a0", "a0.b1", "b1"])
+    for _ in range(4000):
+        value = _made(rng) if rng.random() < 0.7 else {"execution": _made(rng, 1) if rng.random() < 0.7 else json.dumps(_made(rng, 1)), "z": _made(rng, 1)}
+        text = json.dumps(value, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        text = json.dumps(text) if rng.random() < 0.2 else text
+        if rng.random() < 0.2 and text:
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", ",", "}", "]", '"', ":", "x"]) + text[i + rng.randrange(2) :]
+        text = text[: rng.randrange(len(text) + 1)] if rng.random() < 0.1 else text
+        for root in (None, "execution"):
+            record = read_payload(text)
+            if record is not None and root:
+                record = record.get(root)
+                record = read_payload(record) if isinstance(record, str) else record
+            want = sorted(nested.path_triples(record, repeated), key=repr) if isinstance(record, dict) else []
+            try:
+                got = sorted(nested.stream_triples(text, repeated, root), key=repr)
+            except (ValueError, IndexError):
+                got = []
+            assert got == want, text
+
+
+def test_the_stream_of_deep_and_odd_texts():
+    deep = '{"n":' * 50_000 + '{"a":[{"x":1}]}' + "}" * 50_000
+    assert sum(1 for t in nested.stream_triples(deep) if t[3] == "1") == 1
+    for text in ("", " ", "[]", "1", "null", '"x"', '{"a":1} x', '{"a":01}', '{"a":tru}', '{"a" 1}', "{,}", '{"a":[1,]}', '"{\\"a\\": 1', '{"a":"\n"}'):
+        with pytest.raises((ValueError, IndexError)):
+            list(nested.stream_triples(text))
+
+
+def test_flat_tables_lose_no_field(spark):
+    records = [{"a": [{"Key": "x", "key": "y", "id": 1, "p.q": 2, "r": {"s": None, "t": [1, None]}}, None, {"n0": 0, "n1": 1, "n2": 2}]}, {"a": {"key": "z", "parent": "up"}}, {"a": [5, [6]]}]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(0, json.dumps(records[0])), (9, None), (8, "{cut")], "id bigint, j string")
+    triples = nested.shredded(rows, ["id"], "j", repeated=["a"])
+    whole = nested.flat_table(triples, ["id"], "a")
+    assert whole.columns == ["id", "parent", "parent_pos", "child_pos", "element", "Key", "id_2", "key_2", "n0", "n1", "n2", "p__q", "parent_2"]
+    got = {(r["id"], r["child_pos"]): r for r in whole.collect()}
+    assert set(got) == {(0, 0), (0, 2), (1, 0), (2, 0), (2, 1)} and (got[0, 0]["Key"], got[0, 0]["key_2"], got[0, 0]["id_2"]) == ("x", "y", "1") and got[2, 1]["element"] == "[6]"
+    few = {(r["id"], r["child_pos"]): r for r in nested.flat_table(triples, ["id"], "a", most=1).collect()}
+    assert few[0, 2]["other"] == {"n0": "0", "n1": "1", "n2": "2"} and few[0, 0]["other"] == {"Key": "x", "id": "1", "p.q": "2", "r.s": ""} and few[0, 0]["key"] == "y"
+    inner = nested.flat_table(triples, ["id"], "a.r.t").collect()
+    assert [(r["parent"], r["parent_pos"], r["child_pos"], r["element"]) for r in inner] == [("0", 0, 0, "1")]
+    assert nested.flat_table(triples.limit(0), ["id"], "a").count() == 0
