@@ -38,21 +38,21 @@ def canonical_text(c: Column) -> Column:
     return F.pandas_udf(_canonical, "string")(c)
 
 
-def _python_value(value: Any) -> Any:
+def python_value(value: Any) -> Any:
     """1, 1.0 and true are equal, as are keys in any order; a string never equals a number."""
     if isinstance(value, bool):
         return int(value)
     if isinstance(value, float) and value.is_integer():
         return int(value)
     if isinstance(value, list):
-        return [_python_value(v) for v in value]
-    return {k: _python_value(v) for k, v in value.items()} if isinstance(value, dict) else value
+        return [python_value(v) for v in value]
+    return {k: python_value(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
 def _comparable(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else json.dumps(_python_value(json.loads(t)), sort_keys=True)
+            return None if t is None else json.dumps(python_value(json.loads(t)), sort_keys=True)
         except (ValueError, RecursionError):
             return None
 

@@ -134,6 +134,19 @@ def case_states(log: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"has_failure": F.coalesce("has_failure", F.lit(False))})
 
 
+def next_mark(rows: DataFrame, marks: DataFrame, size: int = 4096) -> DataFrame:
+    """``rows`` (run_id, seq, …) with ``next``, the least seq of the run's ``marks`` after theirs (null if there is none).
+    Looked up within blocks of seq and, beyond the block, among the first marks of later blocks, so neither are marks
+    multiplied with rows nor does a long run come to one task."""
+    block = F.floor(F.col("seq") / size)
+    both = rows.withColumn("__mark", F.lit(False)).unionByName(marks.select("run_id", "seq").withColumn("__mark", F.lit(True)), allowMissingColumns=True).withColumn("__block", block)
+    first = F.min(F.when(F.col("__mark"), F.col("seq")))
+    later = Window.partitionBy("run_id").orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("run_id", "__block").agg(first.alias("__first")).withColumn("__later", F.min("__first").over(later)).drop("__first")
+    within = first.over(Window.partitionBy("run_id", "__block").orderBy("seq").rangeBetween(1, Window.unboundedFollowing))
+    return both.withColumn("__within", within).filter(~F.col("__mark")).join(blocks, ["run_id", "__block"]).withColumn("next", F.coalesce("__within", "__later")).drop("__mark", "__block", "__within", "__later")
+
+
 def run_states(log: DataFrame) -> DataFrame:
     """run_id, status, completed_through_stage.
 
@@ -149,7 +162,8 @@ def run_states(log: DataFrame) -> DataFrame:
     since = marks.filter("seq > start")
     first = since.groupBy("run_id").agg(F.min(F.when(kind == "run_completed", F.col("seq"))).alias("first_done"), F.max(F.struct("seq", "event_type")).alias("last"), F.min(F.when(kind == "run_failed", F.col("seq"))).alias("first_failed"))
     bad = failures(log).select("run_id", "since", "until")
-    at = since.filter(kind == "run_completed").select("run_id", F.col("seq").alias("at")).join(bad, "run_id").filter((F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at")))).select("run_id").distinct().withColumn("active", F.lit(True))
+    ends = next_mark(bad.withColumnRenamed("since", "seq"), since.filter(kind == "run_completed").select("run_id", "seq"))
+    at = ends.filter(F.col("next").isNotNull() & (F.col("until").isNull() | (F.col("until") > F.col("next")))).select("run_id").distinct().withColumn("active", F.lit(True))
     late = bad.join(first.select("run_id", "first_done"), "run_id").filter(F.col("since") > F.col("first_done")).select("run_id").distinct().withColumn("later", F.lit(True))
     runs = log.groupBy("run_id").agg(F.max(kind == "run_started").alias("started"), F.max(F.when(kind == "run_completed", F.struct("seq", "stage")))["stage"].alias("completed_through_stage"))
     joined = runs.join(first, "run_id", "left").join(at, "run_id", "left").join(late, "run_id", "left")

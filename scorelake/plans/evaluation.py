@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import identity, text
 from scorelake.functions.payload import case_key_or_derived
 from scorelake.operators import candidates, fold, judging, metrics, nested, readmodels, report, stats, store
+from scorelake.plans.general import flat_sql
 from scorelake.sources.runs import EVENTS
 from scorelake.storage import staged, table
 from scorelake.streaming import live
@@ -372,7 +373,7 @@ def ambiguous_case_ids(spark: SparkSession, d: str) -> DataFrame:
     return readmodels.ambiguous_case_ids(table(spark, d, "cases"))
 
 
-@query()
+@query(f"SELECT run_id, sequence, parent_pos AS response_pos, child_pos AS message_pos, role, content FROM ({flat_sql('evaluation', 'judge_responses.conversation_trace.messages', {'role': 'role', 'content': 'content'})})")
 def conversation_traces(spark: SparkSession, d: str) -> DataFrame:
     """Messages of the judges' conversations: run_id, sequence, response_pos, message_pos, role, content."""
     triples = nested.evaluation_triples(table(spark, d, "run_events"), tables=["judge_responses.conversation_trace.messages"])

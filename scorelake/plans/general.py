@@ -92,7 +92,7 @@ SELECT DISTINCT run_id, sequence, child_path, parent_pos::INT AS parent_pos, chi
 }
 
 
-def _flat_sql(source: str, path: str, fields: dict[str, str]) -> str:
+def flat_sql(source: str, path: str, fields: dict[str, str]) -> str:
     """SQL of a flat table: arrays on the path are unnested one after another, and ``fields`` (path → column) are taken."""
     root = (
         f"SELECT run_id, sequence, CASE json_type(p, '$.execution') WHEN 'VARCHAR' THEN try_cast(p->>'$.execution' AS JSON) ELSE json_extract(p, '$.execution') END AS x FROM (SELECT run_id, sequence, {_DECODED} AS p FROM run_events WHERE event_type = 'evaluation_completed')"
@@ -119,7 +119,7 @@ def _named(*fields: str) -> dict[str, str]:
 
 _COMPONENT = _named("component_id", "fingerprint", "version")
 ORACLE |= {
-    name: _flat_sql(*FLAT[name], fields)
+    name: flat_sql(*FLAT[name], fields)
     for name, fields in {
         "p5_judge_calls": _named("call_id", "dimension_id", "effective_seed", "judge_model_id", "metadata.rubric.id", "repeat_index"),
         "p5_judge_responses": _named("conversation_trace.trace_id", "judge_model_id", "judge_model_version", "latency_ms", "raw_response", "token_usage.completion_tokens", "token_usage.prompt_tokens"),

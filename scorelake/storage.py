@@ -29,11 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def staging_path(spark: SparkSession) -> str:
+    """A new path of this process in the shared folder, removed by clear_staged."""
+    return f"{shared_dir(spark)}/{_SESSION}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage is cut, columns and partitions
     can still be pruned, and a lost executor costs only the tasks it was running."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_SESSION}-{uuid.uuid4().hex}"
+    path = staging_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.identity import content_hash
 from scorelake.operators import fold
 from scorelake.sources.runs import EVENTS, RunStore
-from scorelake.storage import shared_dir
+from scorelake.storage import staged, staging_path
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per_trigger: int = 64) -> DataFrame:
@@ -26,9 +27,10 @@ def follow(events: DataFrame, store: RunStore, names: list[str], checkpoint: str
     """Appends arriving events to ``store`` and recomputes the derived tables ``names`` of the runs they touch.
 
     A batch that is delivered again appends the same events again; copies fall together when the log is folded, so derived
-    tables are right after any failure. The ids of the runs in a batch are read by the driver in slices of 1,000.
+    tables are right after any failure. The ids of the runs in a batch are read by the driver in slices of 1,000. The
+    checkpoint stands in the store under a name made of ``names``, so another process goes on where the last one stopped.
     """
-    place = checkpoint or f"{shared_dir(store.spark)}/follow-{abs(hash((store.path, *names)))}"
+    place = checkpoint or f"{store.path}/checkpoints/follow-{content_hash(sorted(names))[:16]}"
 
     def batch(rows: DataFrame, _: int) -> None:
         rows.persist()
@@ -52,7 +54,7 @@ def caught_up_counts(events: DataFrame) -> DataFrame:
     """event_type, n of what a stream holds now, copies of an event counted once. Batches are appended as narrow rows, so
     the state that a running count of distinct events would need is a table, not memory."""
     spark = events.sparkSession
-    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    place = staging_path(spark)
     rows = events.select("run_id", "sequence", "event_type")
     query = rows.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -66,10 +68,16 @@ def counts_by_window(events: DataFrame, width: str = "1 hour", late: str = "1 da
     return rows.groupBy(F.window("occurred_at", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def current_scores_stream(spark: SparkSession, source: str, sink: Callable[[DataFrame], None], files_per_trigger: int = 64, schema: str = EVENTS):
-    """Hands ``sink`` the folded score rows of the runs in each batch of arriving files."""
+def current_scores_stream(store: RunStore, source: str, sink: Callable[[DataFrame], None], checkpoint: str | None = None, files_per_trigger: int = 64, schema: str = EVENTS):
+    """Appends the events of arriving files to ``store`` and hands ``sink`` the score rows of the runs that a batch
+    touches, folded from all that the store holds of them."""
+    place = checkpoint or f"{store.path}/checkpoints/scores-{content_hash(source)[:16]}"
 
     def batch(rows: DataFrame, _: int) -> None:
-        sink(fold.score_rows(fold.event_log(rows)))
+        rows.persist()
+        store.append_events(rows)
+        touched = rows.select("run_id").distinct()
+        sink(fold.score_rows(staged(fold.event_log(store.events().join(touched, "run_id", "left_semi")))))
+        rows.unpersist()
 
-    return event_stream(spark, source, schema, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", f"{shared_dir(spark)}/scores-stream").trigger(availableNow=True).start()
+    return event_stream(store.spark, source, schema, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", place).trigger(availableNow=True).start()
