@@ -34,6 +34,17 @@ def prompt_text(case: Mapping[str, Any], instructions: str | None = None, prefix
     return "\n\n".join(p for p in (instructions, prefix, shown, suffix) if p)
 
 
+@dataclass
+class Generation:
+    """What a generator may return instead of a bare output: tokens used, the conversation, and the steps on the way."""
+
+    output: Any
+    token_usage: dict[str, int] | None = None
+    conversation: list[dict[str, Any]] | None = None
+    trace: list[dict[str, Any]] | None = None
+    requests_per_minute: int | None = None
+
+
 @dataclass
 class ChatGenerator:
     """generator(case, seed) for chat services: ``send(messages, seed=…, **options)`` returns (text, usage, headers)."""
@@ -43,10 +54,15 @@ class ChatGenerator:
     options: dict[str, Any] = field(default_factory=dict)
     provider_key: str = "chat"
 
+    def generation(self, case: Mapping[str, Any], seed: int) -> Generation:
+        asked = {"role": "user", "content": prompt_text(case, self.instructions)}
+        text, usage, headers = self.send([asked], seed=seed, **self.options)
+        return Generation(text, token_usage(usage), [asked, {"role": "assistant", "content": text}], None, requests_per_minute(headers))
+
     def __call__(self, case: Mapping[str, Any], seed: int) -> str:
-        text, usage, headers = self.send([{"role": "user", "content": prompt_text(case, self.instructions)}], seed=seed, **self.options)
-        self.last_usage, self.last_limit = token_usage(usage), requests_per_minute(headers)
-        return text
+        made = self.generation(case, seed)
+        self.last_usage, self.last_limit = made.token_usage, made.requests_per_minute
+        return made.output
 
 
 @dataclass
@@ -57,9 +73,14 @@ class GraphGenerator:
     stream: Callable[[Any, int], Iterable[Mapping[str, Any]]]
     provider_key: str = "graph"
 
-    def __call__(self, case: Mapping[str, Any], seed: int) -> Any:
-        self.trace = [{"step_name": str(e.get("name", "")), "step_type": str(e.get("kind", "step")), "output": e.get("output")} for e in self.stream(case["input"], seed)]
-        outputs = [s["output"] for s in self.trace if s["output"] is not None]
+    def generation(self, case: Mapping[str, Any], seed: int) -> Generation:
+        trace = [{"step_name": str(e.get("name", "")), "step_type": str(e.get("kind", "step")), "output": e.get("output")} for e in self.stream(case["input"], seed)]
+        outputs = [s["output"] for s in trace if s["output"] is not None]
         if not outputs:
             raise ValueError("the graph gave no output")
-        return outputs[-1]
+        return Generation(outputs[-1], trace=trace)
+
+    def __call__(self, case: Mapping[str, Any], seed: int) -> Any:
+        made = self.generation(case, seed)
+        self.trace = made.trace
+        return made.output

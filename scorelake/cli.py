@@ -10,10 +10,11 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from scorelake import engine
+from scorelake import engine, queue
 from scorelake.operators import fold, report
+from scorelake.operators.store import BUNDLES
 from scorelake.sources import benchmarks, datasets
-from scorelake.sources.config import load, overridden
+from scorelake.sources.config import load, overridden, symbol
 from scorelake.sources.runs import PROJECTIONS, RunStore
 
 
@@ -24,8 +25,10 @@ def _session() -> SparkSession:
 def _experiment(spark: SparkSession, config: dict[str, Any]) -> engine.Experiment:
     cases = datasets.from_jsonl(spark, config["dataset"]["path"], config["dataset"].get("id")) if "path" in config.get("dataset", {}) else datasets.from_inline(spark, config.get("dataset", {}).get("cases", []))
     evaluation = config.get("evaluation", {})
+    names = {n: symbol(n) if ":" in n else engine.demo_judge for n in evaluation.get("judges", [])}  # module:name, or the built-in one
+    generator = config.get("generation", {}).get("generator", "builtin/demo_generator")
     return engine.Experiment(
-        cases, metric_ids=evaluation.get("metrics", ["builtin/exact_match"]), parser=evaluation.get("parser"), judges={n: engine.demo_judge for n in evaluation.get("judges", [])},
+        cases, symbol(generator) if ":" in generator else engine.demo_generator, generator, metric_ids=evaluation.get("metrics", ["builtin/exact_match"]), parser=evaluation.get("parser"), judges=names,
         samples=config.get("generation", {}).get("samples", 1), seeds=config.get("seeds", []), rubric=evaluation.get("rubric"), metadata=config.get("metadata", {}),
     )
 
@@ -57,6 +60,22 @@ def main(argv: list[str] | None = None) -> int:
     sub = commands.add_parser("quick-eval")
     sub.add_argument("path")
     sub.add_argument("--metric", default="builtin/exact_match")
+    sub.add_argument("--kind", default="file", choices=["file", "inline", "benchmark"], help="path is a file of cases, a JSON list of cases, or NAME=ROWS of a benchmark")
+    sub = commands.add_parser("resume")
+    sub.add_argument("run_id")
+    sub = commands.add_parser("export")
+    sub.add_argument("run_id")
+    sub.add_argument("--bundle", default="generation", choices=sorted(BUNDLES))
+    sub.add_argument("--out", required=True)
+    sub = commands.add_parser("submit")
+    sub.add_argument("config")
+    sub.add_argument("--queue", required=True)
+    sub.add_argument("--mode", default="worker_pool", choices=["worker_pool", "batch"])
+    sub.add_argument("--set", nargs="*", default=[], help="overrides, a.b=value")
+    sub = commands.add_parser("worker")
+    sub.add_argument("--queue", required=True)
+    sub = commands.add_parser("batch")
+    sub.add_argument("request")
     sub = commands.add_parser("init")
     sub.add_argument("path")
     commands.add_parser("benchmarks")
@@ -77,8 +96,29 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(experiment.run(store, args.until) if args.command == "run" else experiment.replay(store, args.stage))
     elif args.command == "quick-eval":
-        run_id = engine.evaluate(store, datasets.from_jsonl(spark, args.path), args.metric)
+        if args.kind == "benchmark":
+            name, _, rows = args.path.partition("=")
+            run_id = engine.run_benchmark(store, datasets.raw_rows(spark, [rows]), name)
+        else:
+            cases = datasets.from_jsonl(spark, args.path) if args.kind == "file" else datasets.from_inline(spark, json.loads(args.path))
+            run_id = engine.evaluate(store, cases, args.metric)
         _show(report.quickcheck(store.projection("score_rows", run_id)))
+    elif args.command == "resume":
+        held = store.resume(args.run_id)
+        if held is None:
+            print(f"run {args.run_id} isn't stored", file=sys.stderr)
+            return 1
+        _show(store.projection("run_result", args.run_id))
+    elif args.command == "export":
+        log = store.events(args.run_id).filter(f"event_type = '{BUNDLES[args.bundle]}'")
+        log.orderBy("sequence").select("run_id", "sequence", "event_type", "case_key", "candidate_id", "metric_id", "event_json").write.mode("overwrite").json(args.out)
+    elif args.command == "submit":
+        config = overridden(load(args.config), args.set)
+        print(queue.submit(args.queue, _experiment(spark, config).compile()[0], config, args.mode))
+    elif args.command in ("worker", "batch"):
+        run = lambda request: _experiment(spark, request["config"]).run(store)
+        done = queue.work_once(args.queue, run) if args.command == "worker" else queue.batch(args.request, run)
+        print("nothing is queued" if done is None else done)
     elif args.command == "report":
         store.export(args.out, args.format, args.run_id)
     elif args.command == "compare":

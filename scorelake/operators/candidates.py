@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from scorelake.functions.identity import candidate_seed
 
 
+#: Sizes that a policy may name (fixed values).
+POLICY_SIZES = ("num_samples", "pass_k", "best_of", "self_consistency_count")
+
+
 def candidate_count(policy: dict) -> int:
     """The greatest positive whole number among the four sizes that a policy may name, at least 1."""
-    sizes = (policy.get(k) for k in ("num_samples", "pass_k", "best_of", "self_consistency_count"))
+    sizes = (policy.get(k) for k in POLICY_SIZES)
     return max([1, *(s for s in sizes if isinstance(s, int) and s > 0)])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.identity import judge_seed
 from scorelake.functions.text import pairwise_score
+from scorelake.operators.candidates import POLICY_SIZES
 from scorelake.operators.nested import child_records, snapshot_triples
 
 #: Constants of run estimates (fixed values): tokens in a case's prompt, in a candidate, in a judge's answer.
@@ -71,7 +72,7 @@ def estimates(snapshots: DataFrame) -> DataFrame:
     last = snapshots.groupBy("run_id").agg(F.max("snapshot_json").alias("snapshot_json"))
     children = child_records(snapshot_triples(last, records_only=True, tables=["datasets.cases"]), ["run_id", "sequence"])
     cases = children.groupBy("run_id").agg(F.count("*").alias("total_cases"))
-    samples = F.get_json_object("snapshot_json", "$.identity.candidate_policy.num_samples").try_cast("int")
+    samples = F.greatest(*(F.get_json_object("snapshot_json", f"$.identity.candidate_policy.{k}").try_cast("int") for k in POLICY_SIZES))
     listed = lambda name: F.coalesce(F.json_array_length(F.get_json_object("snapshot_json", f"$.component_refs.{name}")), F.lit(0))
     runs = last.select("run_id", F.greatest(F.lit(1), F.coalesce(samples, F.lit(1))).alias("candidate_count"), listed("metrics").alias("metric_count"), (listed("parsers") > 0).alias("__parses"))
     n, total = F.col("candidate_count"), F.col("total_cases")

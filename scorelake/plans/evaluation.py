@@ -446,6 +446,24 @@ def judge_pairwise_scores(spark: SparkSession, d: str) -> DataFrame:
     return means.join(hub, "judge", "left_anti").join(base, "case_key").select("case_key", "judge", winner.alias("winner"), text.pairwise_score(winner).alias("value"))
 
 
+_INDEX = "regexp_extract(candidate_id, '[0-9]+$')"
+
+
+@query(f"WITH {_JUDGED}, m AS (SELECT case_key, candidate_id, try_cast({_INDEX} AS INT) AS candidate_index, round(avg(score), 9) AS strength FROM s WHERE candidate_id IS NOT NULL GROUP BY 1, 2, 3 HAVING avg(score) IS NOT NULL) SELECT case_key, candidate_index, candidate_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY strength DESC, candidate_index) AS r FROM m WHERE candidate_index IS NOT NULL) WHERE r = 1")
+def best_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate of each case that wins the duels of its judges' mean scores, in the order of candidates."""
+    judged = _judged(spark, d).filter("candidate_id is not null").withColumn("candidate_index", F.regexp_extract("candidate_id", "[0-9]+$", 0).try_cast("int"))
+    means = judging.mean_score(judged, ["case_key", "candidate_id", "candidate_index"]).filter("mean is not null and candidate_index is not null").withColumn("strength", F.round("mean", 9))
+    return candidates.best_of_n(means, ["case_key"], "candidate_index", "candidate_id", "strength")
+
+
+@query(f"WITH {_JUDGED} SELECT case_key, candidate_id, count(*) AS tests_total, count(*) FILTER (coalesce(score >= 1, false)) AS tests_passed, round(count(*) FILTER (coalesce(score >= 1, false)) / count(*), 9) AS pass_rate FROM s GROUP BY 1, 2")
+def judgment_pass_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the judgments of each candidate that pass it."""
+    found = metrics.pass_rates(_judged(spark, d), ["case_key", "candidate_id"], F.coalesce(F.col("score") >= 1, F.lit(False)))
+    return found.withColumn("pass_rate", F.round("pass_rate", 9))
+
+
 # --- stores, caches, bundles
 
 

@@ -19,7 +19,11 @@ CASES = "dataset_id string, revision string, case_id string, case_key string, in
 def positions(rows: DataFrame, name: str = "position") -> DataFrame:
     """``rows`` numbered from 1 in the order in which they are read: the rows of each partition are numbered in it and the
     sizes of the partitions before are added, so the order costs no sort and no single task."""
-    held = staged(rows.withColumn("__id", F.monotonically_increasing_id()))
+    return placed(staged(rows.withColumn("__id", F.monotonically_increasing_id())), name)
+
+
+def placed(held: DataFrame, name: str) -> DataFrame:
+    """``held``, stored rows with __id (monotonically increasing), numbered from 1 in its order; see positions."""
     part = F.shiftright("__id", 33)
     sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators import fold, readmodels, report, store
-from scorelake.storage import staged
+from scorelake.storage import staged, staging_path
 
 EVENTS = (
     "run_id string, sequence bigint, event_type string, schema_version string, occurred_at timestamp, dataset_id string, case_id string, case_key string, candidate_id string, candidate_index int, "
@@ -82,23 +84,80 @@ class RunStore:
         return rows.groupBy("cache_key").agg(F.max_by("payload", "written_at").alias("payload"))
 
     def projection(self, name: str, run_id: str | None = None) -> DataFrame:
-        """A derived table, computed from the log."""
+        """A derived table: of one run as it was stored, if no event came since, else computed from the log."""
         if name not in PROJECTIONS:
             raise KeyError(f"unknown projection: {name}")
+        if run_id is not None and self._is_fresh(name, run_id):
+            rows = self.spark.read.format(self.format).load(f"{self.path}/derived/{name}").filter(F.col("run_id") == run_id)
+            empty = PROJECTIONS[name](fold.event_log(self.spark.createDataFrame([], EVENTS)))
+            return rows.select(*(F.col(c).cast(t).alias(c) for c, t in empty.dtypes))
         return PROJECTIONS[name](staged(fold.event_log(self.events(run_id))))
 
+    def _counts(self, run_ids: list[str]) -> DataFrame:
+        return self.events().filter(F.col("run_id").isin(run_ids)).groupBy("run_id").agg(F.count("*").alias("events"), F.max("sequence").alias("last"))
+
+    def _is_fresh(self, name: str, run_id: str) -> bool:
+        """Whether a derived table was stored when the log had the events that it has now."""
+        marks = self._read(f"derived_marks/{name}", "events bigint, last bigint, run_id string").filter(F.col("run_id") == run_id).select("events", "last").first()
+        return marks is not None and tuple(marks) == tuple(self._counts([run_id]).select("events", "last").first() or ())
+
     def refresh(self, name: str, run_ids: list[str]) -> None:
-        """Recomputes the stored rows of a derived table for the given runs and replaces their partitions."""
+        """Recomputes the stored rows of a derived table for the given runs and replaces their partitions; how many events
+        they come from is stored last."""
+        counts = staged(self._counts(run_ids))
         log = staged(fold.event_log(self.events().filter(F.col("run_id").isin(run_ids))))
-        PROJECTIONS[name](log).write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").save(f"{self.path}/derived/{name}")
+        for folder in (f"derived_marks/{name}", f"derived/{name}"):
+            self._delete(folder, run_ids)
+        for rows, folder in ((PROJECTIONS[name](log), f"derived/{name}"), (counts, f"derived_marks/{name}")):
+            rows.write.format(self.format).mode("append").partitionBy("run_id").save(f"{self.path}/{folder}")
+
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, folder: str, run_ids: list[str]) -> None:
+        for run_id in run_ids:
+            fs, path = self._hadoop(f"{folder}/run_id={run_id}")
+            fs.delete(path, True)
+
+    @contextmanager
+    def lease(self, run_id: str, minutes: float = 240) -> Iterator[None]:
+        """Keeps other writers from a run, so that its events are numbered by one: a file that only one can create. One
+        that is older than ``minutes`` was left by a writer that was lost and is taken over."""
+        fs, path = self._hadoop(f"leases/{run_id}")
+        if not fs.createNewFile(path):
+            age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+            if age < minutes * 60:
+                raise RuntimeError(f"run {run_id} is being written; its lease is {path}")
+            fs.delete(path, False)
+            if not fs.createNewFile(path):
+                raise RuntimeError(f"run {run_id} is being written; its lease is {path}")
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def version(self) -> int:
+        """The version of the store's layout; 0 for a store that was written before versions were."""
+        fs, path = self._hadoop("layout")
+        if not fs.exists(path):
+            return 0
+        return max((int(r[0]) for r in self.spark.read.text(f"{self.path}/layout").collect() if r[0].isdigit()), default=0)
+
+    def migrate(self) -> int:
+        """Brings the store to LAYOUT by the steps of MIGRATIONS; a newer store is an error. Returns the version."""
+        at = self.version()
+        if at > LAYOUT:
+            raise RuntimeError(f"the store has layout {at}, this library knows {LAYOUT}")
+        for step in range(at, LAYOUT):
+            MIGRATIONS[step](self)
+            self.spark.createDataFrame([(str(step + 1),)], "value string").write.mode("append").text(f"{self.path}/layout")
+        return LAYOUT
 
     def clear(self, run_id: str) -> None:
         """Deletes a run's events, snapshot and derived rows; blobs and cache stay."""
-        fs = None
-        for folder in ("events", "snapshots", *(f"derived/{n}" for n in PROJECTIONS)):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/run_id={run_id}")
-            fs = fs or path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(path, True)
+        for folder in ("events", "snapshots", *(f"{d}/{n}" for n in PROJECTIONS for d in ("derived_marks", "derived"))):
+            self._delete(folder, [run_id])
 
     def export(self, path: str, kind: str, run_id: str | None = None) -> None:
         """Writes the score table as csv, json, markdown or latex."""
@@ -106,10 +165,19 @@ class RunStore:
 
 
 def _memory(spark: SparkSession, path: str) -> RunStore:
-    import tempfile
+    """A store for this process: in the folder that all executors share, removed with what the process staged."""
+    return RunStore(spark, staging_path(spark))
+
+
+def _unmarked(store: RunStore) -> None:
+    """Layout 1: derived tables have marks. Those that were stored without any are removed and computed when asked for."""
+    fs, path = store._hadoop("derived")
+    fs.delete(path, True)
 
-    return RunStore(spark, tempfile.mkdtemp(prefix="runs-"))
 
+#: Version of the layout, and the step from each version to the next.
+LAYOUT = 1
+MIGRATIONS: dict[int, Callable[[RunStore], None]] = {0: _unmarked}
 
 #: Kinds of stores: name → function of a session and a path. Users add their own, for example over JDBC.
 BACKENDS: dict[str, Callable[[SparkSession, str], RunStore]] = {

@@ -190,6 +190,12 @@ def test_cli(spark, tmp_path, capsys):
     run = capsys.readouterr().out.strip().splitlines()[-1]
     assert cli.main([*where, "quickcheck", run]) == 0 and json.loads(capsys.readouterr().out)["mean"] == 1.0
     assert cli.main([*where, "report", run, "--format", "markdown", "--out", str(tmp_path / "out")]) == 0
+    assert cli.main([*where, "resume", run]) == 0 and json.loads(capsys.readouterr().out)["status"] == "completed" and cli.main([*where, "resume", "none"]) == 1
+    assert cli.main([*where, "export", run, "--out", str(tmp_path / "bundle")]) == 0 and spark.read.json(str(tmp_path / "bundle")).first()["event_type"] == "generation_completed"
+    jobs = ["--queue", str(tmp_path / "jobs")]
+    assert cli.main([*where, "submit", str(tmp_path / "c.toml"), *jobs]) == 0 and run in capsys.readouterr().out
+    assert cli.main([*where, "worker", *jobs]) == 0 and capsys.readouterr().out.strip() == run  # it was finished already
+    assert cli.main([*where, "worker", *jobs]) == 0 and "nothing" in capsys.readouterr().out
 
 
 def test_selection_rejudging_and_benchmarks(spark, tmp_path):
